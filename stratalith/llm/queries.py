@@ -6,9 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stratalith.llm.bpe import encode_column
 from stratalith.llm.mixture import mixture, mixture_report
+from stratalith.llm.split import split_chunks
 from stratalith.sources.tables import table
 
 
+def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of every chunk text."""
+    return split_chunks(table(spark, folder, "chunk_texts"), table(spark, folder, "chunk_limits"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks that had to be cut."""
+    return p1_pieces(spark, folder).where("piece_no = 1").select("id").distinct()
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return encode_column(table(spark, folder, "documents"), "text", ["doc_id"])
@@ -26,9 +37,15 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict:
     """By name."""
-    return {f.__name__: f for f in (p6_ids, p7_mixture, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p6_ids, p7_mixture, p7_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
     """By name."""
-    return {}
+    return {
+        "p1_found": r"""
+            WITH kinds AS (SELECT *, lower(trim(type)) AS kind FROM chunk_limits),
+            texts AS (SELECT id, lower(trim(type)) AS kind, length(trim(text, chr(32) || chr(9) || chr(10) || chr(13))) AS n FROM chunk_texts WHERE text IS NOT NULL)
+            SELECT DISTINCT t.id FROM texts t LEFT JOIN kinds k ON k.kind = t.kind
+            WHERE t.n > coalesce(k.max_chars, (SELECT max_chars FROM kinds WHERE kind = '*'))""",
+    }
