@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stratalith.llm.bpe import encode_column
 from stratalith.llm.mixture import mixture, mixture_report
 from stratalith.llm.split import split_chunks
+from stratalith.llm.vptree import nearest
 from stratalith.sources.tables import table
 
 
@@ -20,6 +22,18 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_pieces(spark, folder).where("piece_no = 1").select("id").distinct()
 
 
+def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 most similar other vectors of the same schema for every usable vector."""
+    near = nearest(table(spark, folder, "chunk_vectors"), "schema_id", "vec_id", "embedding")
+    return near.select("schema_id", "vec_id", F.posexplode("near").alias("place", "n")).select("schema_id", "vec_id", (F.col("place") + 1).alias("rank"), F.col("n.id").alias("neighbour_id"), (-F.col("n.neg")).alias("similarity"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs with a cosine of at least 0.85 of which one is among the other's 5 most similar."""
+    near = p4_neighbours(spark, folder).where("similarity >= 0.85")
+    return near.select(F.least("vec_id", "neighbour_id").alias("vec_id_a"), F.greatest("vec_id", "neighbour_id").alias("vec_id_b")).distinct()
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return encode_column(table(spark, folder, "documents"), "text", ["doc_id"])
@@ -37,7 +51,18 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict:
     """By name."""
-    return {f.__name__: f for f in (p1_found, p1_pieces, p6_ids, p7_mixture, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_neighbours, p6_ids, p7_mixture, p7_shares)}
+
+
+_NEAR = """
+            WITH usable AS (
+              SELECT DISTINCT ON (schema_id, vec_id) schema_id, vec_id, embedding::DOUBLE[64] AS e FROM chunk_vectors
+              WHERE schema_id IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+                AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+            pairs AS (
+              SELECT a.schema_id, a.vec_id, b.vec_id AS neighbour_id, round(array_cosine_similarity(a.e, b.e), 12) AS similarity
+              FROM usable a JOIN usable b ON a.schema_id = b.schema_id AND a.vec_id <> b.vec_id),
+            ranked AS (SELECT *, row_number() OVER (PARTITION BY schema_id, vec_id ORDER BY similarity DESC, neighbour_id) AS rank FROM pairs QUALIFY rank <= 5) """
 
 
 def oracle_sql() -> dict[str, str]:
@@ -48,4 +73,5 @@ def oracle_sql() -> dict[str, str]:
             texts AS (SELECT id, lower(trim(type)) AS kind, length(trim(text, chr(32) || chr(9) || chr(10) || chr(13))) AS n FROM chunk_texts WHERE text IS NOT NULL)
             SELECT DISTINCT t.id FROM texts t LEFT JOIN kinds k ON k.kind = t.kind
             WHERE t.n > coalesce(k.max_chars, (SELECT max_chars FROM kinds WHERE kind = '*'))""",
+        "p4_found": _NEAR + "SELECT DISTINCT least(vec_id, neighbour_id) AS vec_id_a, greatest(vec_id, neighbour_id) AS vec_id_b FROM ranked WHERE similarity >= 0.85",
     }
