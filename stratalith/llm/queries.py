@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stratalith.llm.bpe import encode_column
 from stratalith.llm.mixture import mixture, mixture_report
 from stratalith.llm.split import split_chunks
+from stratalith.llm.subject import assign_areas, train
 from stratalith.llm.vptree import nearest
 from stratalith.sources.tables import table
 
@@ -49,9 +50,24 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixture_report(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Areas of every document."""
+    documents = table(spark, folder, "documents")
+    return assign_areas(documents, train(documents, table(spark, folder, "doc_labels"), table(spark, folder, "subject_areas")))
+
+
+def p8_makeup(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and share of documents by area; areas without documents count 0."""
+    found = p8_found(spark, folder).distinct().groupBy("area").agg(F.count(F.lit(1)).alias("n_documents"))
+    total = table(spark, folder, "documents").agg(F.count_distinct("doc_id").alias("n"))
+    listed = table(spark, folder, "subject_areas").select("area").distinct()
+    joined = listed.join(found, "area", "left").join(F.broadcast(total), F.lit(True))
+    return joined.select("area", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.round(F.try_divide(F.coalesce("n_documents", F.lit(0)), "n"), 6).alias("share"))
+
+
 def queries() -> dict:
     """By name."""
-    return {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_neighbours, p6_ids, p7_mixture, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_neighbours, p6_ids, p7_mixture, p7_shares, p8_found, p8_makeup)}
 
 
 _NEAR = """
