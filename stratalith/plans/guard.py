@@ -40,7 +40,7 @@ def verdict(sql: str | None, dialect: Dialect = DIALECTS["spark"]) -> str | None
     if not text:
         return "SQL_EMPTY"
     code = code_only(text, dialect.backslash)
-    if sum(bool(part.strip()) for part in code_only(text, dialect.backslash, names=True).replace("\x00", "").split(";")) > 1 or len([p for p in _parts(text, dialect) if p]) > 1:
+    if len([part for part in _parts(text, dialect) if part]) > 1:
         return "SQL_MULTI_STATEMENT"
     if "--" in code or "/*" in code:
         return "SQL_COMMENT"
