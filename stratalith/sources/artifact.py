@@ -34,7 +34,7 @@ class Described:
 
 def split_front(text: str) -> tuple[dict[str, Any], str]:
     """Front-matter and body; any error in the front-matter is fatal."""
-    found = re.match(r"\A﻿?---[ \t]*\r?\n(.*?)(?:\r?\n)?---[ \t]*(?:\r?\n|\Z)", text, re.S)
+    found = re.match(r"\A\ufeff?---[ \t]*\r?\n(.*?)(?:\r?\n)?---[ \t]*(?:\r?\n|\Z)", text, re.S)
     if not found:
         return {}, text
     try:
@@ -182,11 +182,29 @@ def load(path: str) -> Artifact:
     return from_json(at.read_text(encoding="utf-8"))
 
 
-TABLES = "schema_id string, table_id string, schema string, name string, sensitive boolean, tracked boolean, description string, aliases array<string>, primary_entity string, common_query_language string, position int"
-COLUMNS = "schema_id string, table_id string, column_id string, name string, type string, nullable boolean, primary_key boolean, sensitive boolean, description string, aliases array<string>, enum array<string>, position int"
+TABLES = "schema_id string, table_id string, schema string, name string, sensitive boolean, tracked boolean, description string, aliases array<string>, primary_entity string, common_query_language string, questions array<string>, business_context string, position int"
+COLUMNS = "schema_id string, table_id string, column_id string, name string, type string, nullable boolean, primary_key boolean, sensitive boolean, description string, aliases array<string>, enum array<string>, note string, position int"
 LINKS = "schema_id string, table_id string, from_id string, to_id string, position int"
 
 
+def questions(body: str | None) -> list[str]:
+    """Items of a bulleted section (X-14)."""
+    return [line.strip()[2:].strip() for line in (body or "").split("\n") if line.strip()[:2] in ("- ", "* ")]
+
+
+def column_notes(said: Described | None) -> dict[str, str]:
+    """Notes of the section on columns, by column name (X-14)."""
+    body = said.sections.get(SECTIONS[3], "") if said else ""
+    found = re.findall(r"(?m)^\s*-\s*`([^`]+)`\s*[:\-\u2014]\s*(.+?)\s*$", body)
+    return dict(reversed(found))
+
+
+def _sections(said: Described | None) -> tuple[str | None, list[str], str | None]:
+    if said is None:
+        return None, [], None
+    return said.sections.get(SECTIONS[0]), questions(said.sections.get(SECTIONS[1])), said.sections.get(SECTIONS[2]) or None
+
+
 def frames(spark: SparkSession, artifact: Artifact) -> dict[str, DataFrame]:
     """The artifact as tables ``tables``, ``columns``, ``relationships``.
 
@@ -200,11 +218,11 @@ def frames(spark: SparkSession, artifact: Artifact) -> dict[str, DataFrame]:
         front = said.front if said else {}
         noted = {c.get("id"): c for c in front.get("columns") or []}
         hidden = bool(t.get("sensitive"))
-        tables.append((schema_id, t["id"], t["schema"], t["name"], hidden, front.get("tracked", True), said.description if said else None, front.get("aliases") or [], front.get("primaryEntity"), said.sections.get(SECTIONS[0]) if said else None, i))
+        tables.append((schema_id, t["id"], t["schema"], t["name"], hidden, front.get("tracked", True), said.description if said else None, front.get("aliases") or [], front.get("primaryEntity"), *_sections(said), i))
         for j, c in enumerate(t["columns"]):
             mark = hidden or bool(c.get("sensitive"))
             note = {} if mark else noted.get(c["id"], {})
-            columns.append((schema_id, t["id"], c["id"], c["name"], c["type"], c["nullable"], bool(c.get("primaryKey")), mark, note.get("description"), note.get("aliases") or [], note.get("enum") or [], j))
+            columns.append((schema_id, t["id"], c["id"], c["name"], c["type"], c["nullable"], bool(c.get("primaryKey")), mark, note.get("description"), note.get("aliases") or [], note.get("enum") or [], None if mark else column_notes(said).get(c["name"]), j))
         links += [(schema_id, t["id"], r["from"], r["to"], j) for j, r in enumerate(t.get("relationships") or [])]
     return {"tables": spark.createDataFrame(tables, TABLES), "columns": spark.createDataFrame(columns, COLUMNS), "relationships": spark.createDataFrame(links, LINKS)}
 
