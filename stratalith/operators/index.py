@@ -164,6 +164,7 @@ def retriever(index: DataFrame, dimensions: int = 64) -> Callable[..., DataFrame
     return find
 
 
+# Fixed value: the first bytes of the interchange format.
 MAGIC = b"ARAG"
 _HEAD = struct.Struct("<4sIII")
 
