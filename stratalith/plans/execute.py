@@ -117,7 +117,7 @@ class Engine:
         wanted = {r.lower() for r in relations}
         for name, frame in self.scoped(scope).items():
             if name.lower() in wanted:
-                DataFrame(frame._jdf, session).createOrReplaceTempView(name)
+                _in_session(session, frame).createOrReplaceTempView(name)
         return session.sql(text, args=positional) if positional else session.sql(text)
 
     def prepare(self, named: str, parameters: tuple[Parameter, ...]) -> Prepared:
@@ -191,6 +191,12 @@ class Engine:
         return named, declared, prepared
 
 
+def _in_session(session: SparkSession, frame: DataFrame) -> DataFrame:
+    """The same plan, owned by another session of the application."""
+    moved = session._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, frame._jdf.queryExecution().analyzed())
+    return DataFrame(moved, session)
+
+
 def _positional(text: str, values: Mapping[str, Any]) -> tuple[str, list[Any]]:
     """Statement with ``?`` for each placeholder that has a value, lists spread out, and the values in order."""
     out, order, at = [], [], 0
