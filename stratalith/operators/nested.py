@@ -202,7 +202,7 @@ def artifact_tables(artifacts: DataFrame) -> dict[str, DataFrame]:
         mark = F.lower(F.try_variant_get("element", "$.sensitive", "string"))
         out[f"{kind}s"] = level.select(
             "artifact_id", "row_id", "parent_id", F.lit(kind).alias("node_kind"),
-            (F.col("position") if kind == "table" else F.element_at("ancestors", 1)).cast("int").alias("table_pos"),
+            (F.col("position") if kind == "table" else F.try_element_at("ancestors", F.lit(1))).cast("int").alias("table_pos"),
             (F.lit(-1) if kind == "table" else F.col("position")).cast("int").alias("node_pos"),
             F.coalesce(F.try_variant_get(raw, "$", "string"), F.when(~F.is_variant_null(raw), F.to_json(raw))).alias("node_name"),
             (F.lit("none") if kind == "relationship" else F.when(mark.isin("true", "false"), mark).otherwise("none")).alias("sensitive"),
