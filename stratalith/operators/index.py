@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +29,6 @@ def hashed_embedder(dimensions: int = 64) -> Embedder:
 
 def batch_embedder(embed: Callable[[list[str]], list[list[float]]], batch: int = 64) -> Embedder:
     """Embedder from a function over texts, called in the workers on Arrow batches cut to ``batch`` texts."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
         out: list[list[float]] = []
