@@ -49,7 +49,8 @@ class Tree:
         self.vantage: list[np.ndarray] = []
         self.path: list[tuple[tuple[int, float, float], ...]] = []
         self.spans: list[tuple[int, int]] = []
-        self._build(0, len(points), leaf, depth, ())
+        if len(points):
+            self._build(0, len(points), leaf, depth, ())
         self.centres = np.array(self.vantage) if self.vantage else np.zeros((0, points.shape[1]))
 
     def _build(self, lo: int, hi: int, leaf: int, depth: int, path: tuple[tuple[int, float, float], ...]) -> None:
