@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SUB_BUCKETS = 128
+BROADCAST_ROWS = 200_000
 KINDS = np.array(["added", "removed", "changed"])
 _COMPACT = ("k1", "k2", "snap", "prev", "next", "row", "at")
 
@@ -110,7 +111,8 @@ def snapshot_changes(df: DataFrame, group: str, key: str, snapshot: str, deliver
     ``old_<name>`` and ``new_<name>`` of each compared column.
 
     Scale: keys are spread over all partitions by hash, so a group that holds a third
-    of the rows is split; only about 60 bytes a row are shuffled for the comparison.
+    of the rows is split; only about 60 bytes a row are shuffled for the comparison. The
+    list of (group, snapshot) pairs is broadcast up to 200,000 counted pairs, joined beyond.
     """
     base = df.select(
         F.col(group).alias("_g"), F.col(key).alias("_k"), F.col(snapshot).cast("long").alias("snap"),
@@ -126,8 +128,9 @@ def snapshot_changes(df: DataFrame, group: str, key: str, snapshot: str, deliver
         base.select("_g", "snap").distinct()
         .withColumns({"prev": F.coalesce(F.lag("snap").over(in_group), F.lit(-1)), "next": F.coalesce(F.lead("snap").over(in_group), F.lit(-1))})
     )
+    small = numbers.select("_g").limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     compact = (
-        base.join(numbers, ["_g", "snap"])
+        base.join(F.broadcast(numbers) if small else numbers, ["_g", "snap"])
         .select("k1", "k2", "snap", "prev", "next", "at", _null_safe_hash([F.col(f"_v_{n}") for n in compare], 11).alias("row"))
         .withColumn("sub", F.pmod(F.shiftrightunsigned("k1", 32), F.lit(SUB_BUCKETS)))
     )
