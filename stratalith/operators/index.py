@@ -70,6 +70,17 @@ def stale(chunks: DataFrame, index: DataFrame, embedder_id: str) -> DataFrame:
     return counts.select((F.col("n_new") + F.col("n_changed") + F.col("n_orphan") > 0).alias("stale"), "*")
 
 
+def refresh(store: VectorStore, chunks: DataFrame, embed: Embedder, embedder_id: str, progress: Callable[[str, dict], None] | None = None) -> dict:
+    """Bring a stored index up to date if it is stale, telling ``progress`` of each step (P29, T2). Returns the counts."""
+    told = progress or (lambda event, counts: None)
+    counts = stale(chunks, store.read(), embedder_id).first().asDict()
+    told("index_started", counts)
+    if counts["stale"]:
+        store.write(reindex(chunks, store.read(), embed, embedder_id))
+    told("index_finished", counts)
+    return counts
+
+
 class VectorStore:
     """Index in a Parquet folder, replaced as a whole version at a time.
 

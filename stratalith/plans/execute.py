@@ -219,3 +219,20 @@ def record_history(spark: SparkSession, path: str, entry: Mapping[str, Any]) ->
 def latest_history(history: DataFrame, n: int = HISTORY_SHOWN) -> DataFrame:
     """Newest entries first, at most as many as are shown."""
     return history.orderBy(F.desc("at"), F.desc("id")).limit(max(0, min(n, HISTORY_KEPT)))
+
+
+def drop_history(history: DataFrame, ids: list[str]) -> DataFrame:
+    """History without the given entries (K5)."""
+    return history.where(~F.col("id").isin(ids)) if ids else history
+
+
+def total_usage(requests: list[Mapping[str, int | None]]) -> dict[str, int | None]:
+    """Token usage summed over requests; a kind that no request states stays None."""
+    kinds = ("total", "prompt", "completion", "embedding")
+    filled = [dict(r) | {"total": r.get("total") if r.get("total") is not None else _sum([r.get("prompt"), r.get("completion")]) or r.get("embedding")} for r in requests]
+    return {k: _sum([r.get(k) for r in filled]) for k in kinds}
+
+
+def _sum(values: list[int | None]) -> int | None:
+    there = [v for v in values if v is not None]
+    return sum(there) if there else None

@@ -131,8 +131,8 @@ def catalog_key_fold(spark: SparkSession, folder: str) -> DataFrame:
 
 def catalog_enum_fold(spark: SparkSession, folder: str) -> DataFrame:
     """Values in declared, not alphabetical, order."""
-    values = [("public", "ticket_status", v, i) for i, v in enumerate(("open", "in_progress", "blocked", "resolved", "closed"))]
-    rows = spark.createDataFrame(values[::-1], "schema_name string, enum_name string, value string, sort_order int")
+    values = [("public", "ticket_status", i, v) for i, v in enumerate(("open", "in_progress", "blocked", "resolved", "closed"))]
+    rows = spark.createDataFrame(values[::-1], "schema_name string, enum_name string, enum_position int, enum_value string")
     return folded_enums(rows).select("enum_name", F.array_join("values", ",").alias("values"))
 
 

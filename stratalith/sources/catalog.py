@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratalith.errors import ConnectorError
-from stratalith.functions.text import column_id, matches_globs, referential_action, table_id
+from stratalith.functions.text import array_literal, column_id, matches_globs, referential_action, table_id
 from stratalith.functions.types import shorten_type
 from stratalith.operators.rejects import BOOLEANS, NULL_MARK
 
@@ -32,8 +32,12 @@ ROWS: dict[str, dict[str, str]] = {
     "primary_keys": {"schema_name": _S, "table_name": _S, "constraint_name": _S, "key_position": _I, "column_name": _S},
     "foreign_keys": {"schema_name": _S, "table_name": _S, "constraint_name": _S, "key_position": _I, "column_name": _S, "referenced_schema_name": _S, "referenced_table_name": _S, "referenced_column_name": _S, "on_delete_code": _S, "on_update_code": _S},
     "unique_constraints": {"schema_name": _S, "table_name": _S, "constraint_name": _S, "key_position": _I, "column_name": _S},
-    "enums": {"schema_name": _S, "enum_name": _S, "value": _S, "sort_order": _I},
-    "comments": {"schema_name": _S, "table_name": _S, "column_name": _S, "comment": _S},
+    "check_constraints": {"schema_name": _S, "table_name": _S, "constraint_name": _S, "expression": _S},
+    "indexes": {"schema_name": _S, "table_name": _S, "index_name": _S, "is_unique": _B, "method": _S, "columns": _S, "expressions": _S},
+    "enums": {"schema_name": _S, "enum_name": _S, "enum_position": _I, "enum_value": _S},
+    "sequences": {"schema_name": _S, "sequence_name": _S, "data_type": _S, "start_value": _S, "minimum_value": _S, "maximum_value": _S, "increment": _S, "cycle_option": _B},
+    "views": {"schema_name": _S, "view_name": _S, "definition": _S, "is_materialized": _B},
+    "comments": {"object_type": _S, "schema_name": _S, "table_name": _S, "column_name": _S, "comment": _S},
 }
 # Namespaces that belong to the engine itself.
 SYSTEM_SCHEMAS = ("pg_catalog", "information_schema", "pg_toast", "sys", "guest", "INFORMATION_SCHEMA")
@@ -58,8 +62,19 @@ TEMPLATES: dict[str, dict[str, str]] = {
             from pg_constraint k join pg_class c on c.oid = k.conrelid join pg_namespace n on n.oid = c.relnamespace join pg_class r on r.oid = k.confrelid join pg_namespace rn on rn.oid = r.relnamespace
             cross join lateral unnest(k.conkey, k.confkey) with ordinality u(num, rnum, place) join pg_attribute a on a.attrelid = c.oid and a.attnum = u.num
             join pg_attribute ra on ra.attrelid = r.oid and ra.attnum = u.rnum where k.contype = 'f' order by 1, 2, 3, 4""",
-        "enums": """select n.nspname as schema_name, t.typname as enum_name, e.enumlabel as value, row_number() over (partition by t.oid order by e.enumsortorder)::int as sort_order
-            from pg_enum e join pg_type t on t.oid = e.enumtypid join pg_namespace n on n.oid = t.typnamespace order by 1, 2, 4""",
+        "unique_constraints": """select n.nspname as schema_name, c.relname as table_name, k.conname as constraint_name, u.place::int as key_position, a.attname as column_name
+            from pg_constraint k join pg_class c on c.oid = k.conrelid join pg_namespace n on n.oid = c.relnamespace cross join lateral unnest(k.conkey) with ordinality u(num, place)
+            join pg_attribute a on a.attrelid = c.oid and a.attnum = u.num where k.contype = 'u' order by 1, 2, 3, 4""",
+        "check_constraints": """select n.nspname as schema_name, c.relname as table_name, k.conname as constraint_name, pg_get_constraintdef(k.oid) as expression
+            from pg_constraint k join pg_class c on c.oid = k.conrelid join pg_namespace n on n.oid = c.relnamespace where k.contype = 'c' order by 1, 2, 3""",
+        "indexes": """select n.nspname as schema_name, c.relname as table_name, x.relname as index_name, i.indisunique as is_unique, m.amname as method,
+            array(select a.attname::text from unnest(i.indkey) with ordinality u(num, place) left join pg_attribute a on a.attrelid = c.oid and a.attnum = u.num and u.num > 0 order by u.place)::text as columns,
+            pg_get_expr(i.indexprs, i.indrelid) as expressions
+            from pg_index i join pg_class c on c.oid = i.indrelid join pg_class x on x.oid = i.indexrelid join pg_namespace n on n.oid = c.relnamespace join pg_am m on m.oid = x.relam order by 1, 2, 3""",
+        "enums": """select n.nspname as schema_name, t.typname as enum_name, row_number() over (partition by t.oid order by e.enumsortorder)::int as enum_position, e.enumlabel as enum_value
+            from pg_enum e join pg_type t on t.oid = e.enumtypid join pg_namespace n on n.oid = t.typnamespace order by 1, 2, 3""",
+        "sequences": "select sequence_schema as schema_name, sequence_name, data_type, start_value, minimum_value, maximum_value, increment, cycle_option = 'YES' as cycle_option from information_schema.sequences order by 1, 2",
+        "views": "select schemaname as schema_name, viewname as view_name, definition, false as is_materialized from pg_views union all select schemaname, matviewname, definition, true from pg_matviews order by 1, 2",
     },
     "mysql": {
         "tables": "select 'public' as schema_name, table_name as table_name, case table_type when 'VIEW' then 'v' else 'r' end as relkind, false as row_level_security, table_comment as comment from information_schema.tables where table_schema = database() order by 2",
@@ -76,6 +91,7 @@ TEMPLATES: dict[str, dict[str, str]] = {
 }
 TEMPLATES["cockroachdb"], TEMPLATES["mariadb"] = TEMPLATES["postgres"], TEMPLATES["mysql"]
 EXPORT_VERSION = 1
+REQUIRED = ("tables", "columns")
 
 Catalog = dict[str, DataFrame]
 
@@ -174,11 +190,17 @@ def read_export(spark: SparkSession, folder: str) -> Catalog:
         manifest = json.loads((at / "manifest.json").read_text())
     except (OSError, ValueError):
         raise ConnectorError("the bundle has no readable manifest", "EXPORT_MANIFEST") from None
+    if not isinstance(manifest, dict) or manifest.get("engine", "postgres") != "postgres":
+        raise ConnectorError("the bundle is of another engine", "EXPORT_ENGINE")
     if manifest.get("version") != EXPORT_VERSION:
         raise ConnectorError(f"the bundle is of version {manifest.get('version')}", "EXPORT_VERSION")
+    named = manifest.get("files") or {}
+    if not isinstance(named, dict) or any(k not in ROWS or not isinstance(v, str) or not v for k, v in named.items()):
+        raise ConnectorError("the manifest's files can't be read", "EXPORT_MANIFEST")
     out = {}
     for part, shape in ROWS.items():
-        plain, packed = at / f"{part}.csv", at / f"{part}.json"
+        given = at / named[part] if part in named else None
+        plain, packed = given if given and given.suffix == ".csv" else at / f"{part}.csv", given if given and given.suffix == ".json" else at / f"{part}.json"
         ddl = ", ".join(f"{k} {v}" for k, v in shape.items())
         if plain.exists():
             with plain.open(encoding="utf-8-sig", newline="") as file:
@@ -191,14 +213,21 @@ def read_export(spark: SparkSession, folder: str) -> Catalog:
             places = [rows[0].index(c) for c in shape]
             out[part] = spark.createDataFrame([tuple(_field(r[i] if i < len(r) else "", t) for i, t in zip(places, shape.values())) for r in rows[1:] if r], ddl)
         elif packed.exists():
-            out[part] = spark.createDataFrame([tuple(r.get(c) for c in shape) for r in json.loads(packed.read_text())], ddl)
-        elif part in manifest.get("templates", []):
+            out[part] = spark.createDataFrame([tuple(_packed(r.get(c)) for c in shape) for r in json.loads(packed.read_text())], ddl)
+        elif part in named or part in REQUIRED:
             raise ConnectorError(f"the bundle lacks {part}", "EXPORT_FILE")
         else:
             out[part] = empty(spark, part)
     return out
 
 
+def _packed(value: Any) -> Any:
+    """A JSON value as its row holds it; arrays as array literals."""
+    if not isinstance(value, list):
+        return value
+    return "{" + ",".join("NULL" if v is None else '"' + v.replace("\\", "\\\\").replace('"', '\\"') + '"' for v in value) + "}"
+
+
 def _field(value: str, kind: str) -> Any:
     if value in ("", NULL_MARK):
         return None
@@ -247,7 +276,20 @@ def folded_foreign_keys(rows: DataFrame) -> DataFrame:
 
 def folded_enums(rows: DataFrame) -> DataFrame:
     """Values of each enum in declared order (A4)."""
-    return rows.groupBy("schema_name", "enum_name").agg(F.transform(F.sort_array(F.collect_list(F.struct("sort_order", "value"))), lambda x: x["value"]).alias("values"))
+    return rows.groupBy("schema_name", "enum_name").agg(F.transform(F.sort_array(F.collect_list(F.struct("enum_position", "enum_value"))), lambda x: x["enum_value"]).alias("values"))
+
+
+def folded_indexes(rows: DataFrame) -> DataFrame:
+    """Indexes by name with their columns as an array; a null stands for an expression (A3, J6, X-19)."""
+    return rows.select(*_key("index_name"), "is_unique", "method", array_literal(F.col("columns")).alias("columns"), "expressions")
+
+
+def all_comments(catalog: Catalog) -> DataFrame:
+    """Comments on tables and columns, from wherever the catalog keeps them."""
+    tables = catalog["tables"].select(F.lit("relation").alias("object_type"), *_key(), F.lit(None).cast("string").alias("column_name"), "comment")
+    columns = catalog["columns"].select(F.lit("column").alias("object_type"), *_key("column_name"), "comment")
+    named = tables.unionByName(columns).unionByName(catalog["comments"])
+    return named.where("comment <> ''").groupBy("object_type", *_key("column_name")).agg(F.max("comment").alias("comment"))
 
 
 def is_system(schema: str = "schema_name"):

@@ -73,6 +73,6 @@ def read_prisma(spark: SparkSession, path: str) -> Catalog:
         rows["primary_keys"] += [(schema, table, f"{table}_pkey", i + 1, columns[model][k]) for i, k in enumerate(keys)]
     for name, body in enums.items():
         values = [v.split()[0] for v in body.split("\n") if v.strip() and not v.strip().startswith("@@")]
-        rows["enums"] += [(space(body), mapped(body, name), v, i + 1) for i, v in enumerate(values)]
+        rows["enums"] += [(space(body), mapped(body, name), i + 1, v) for i, v in enumerate(values)]
     rows["schemas"] = [(s,) for s in sorted({r[0] for r in rows["tables"]})]
     return {part: spark.createDataFrame(rows[part], ", ".join(f"{k} {v}" for k, v in ROWS[part].items())) for part in ROWS}

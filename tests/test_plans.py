@@ -11,7 +11,7 @@ from stratalith.plans import tenant as tenancy
 from stratalith.plans.config import load_settings, required
 from stratalith.plans.dialects import DIALECTS, dialect
 from stratalith.plans.enrich import broken_links, neighbours, parse_candidates, suggest, suggest_policy
-from stratalith.plans.execute import Engine, envelope, latest_history, record_history
+from stratalith.plans.execute import Engine, drop_history, envelope, latest_history, record_history, total_usage
 from stratalith.plans.guard import explain, inspect, validate, verdict
 from stratalith.plans.lexer import code_only, placeholders, same_statement, spans
 from stratalith.plans.logs import EventLog
@@ -213,6 +213,13 @@ def test_envelope_and_history(engine, spark, tmp_path):
     assert [r["id"] for r in latest_history(spark.read.parquet(str(tmp_path / "h")), 2).collect()] == ["2", "1"]
 
 
+def test_usage_and_history_deletion(spark):
+    assert total_usage([{"prompt": 3, "completion": 4}, {"embedding": 5}, {}]) == {"total": 12, "prompt": 3, "completion": 4, "embedding": 5}
+    assert total_usage([])["total"] is None
+    rows = spark.createDataFrame([("a",), ("b",)], "id string")
+    assert drop_history(rows, ["a"]).first()["id"] == "b" and drop_history(rows, []).count() == 2
+
+
 def test_notes_suggestions_settings(spark, tmp_path):
     assert ambiguity_notes("join users and items", ["users"]) and ambiguity_notes("count from invoices", ["users", "items"]) and not ambiguity_notes("count from users", ["users", "items"])
     assert parse_candidates("a\n---\n\n----\nb\n---\nc\n---\nd") == ["a", "b", "c"] and suggest(lambda s, p: "one", "concept", "x", "") == ["one"]

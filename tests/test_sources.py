@@ -11,7 +11,7 @@ from stratalith.errors import ConnectorError, ParameterError, SchemaError
 from stratalith.functions import text as tx
 from stratalith.functions.vectors import cosine, hashed_embedding
 from stratalith.operators.chunks import build_chunks, packed_paragraphs
-from stratalith.operators.index import SCHEMA, VectorStore, batch_embedder, check_k, compare, hashed_embedder, read_vector_file, reindex, retriever, search, write_vector_file
+from stratalith.operators.index import SCHEMA, VectorStore, batch_embedder, check_k, compare, hashed_embedder, read_vector_file, refresh, reindex, retriever, search, write_vector_file
 from stratalith.plans.prompt import ddl_lines, ddl_text
 from stratalith.queries.star import _id, star_artifact
 from stratalith.sources import artifact as art
@@ -94,11 +94,13 @@ def test_sqlite_catalog_to_artifact(spark, tmp_path):
 
 
 def test_export_bundle(spark, tmp_path):
-    (tmp_path / "manifest.json").write_text('{"version": 1, "templates": ["tables", "columns"]}')
+    (tmp_path / "manifest.json").write_text('{"engine": "postgres", "version": 1, "files": {"indexes": "ix.json"}}')
     (tmp_path / "tables.csv").write_text('schema_name,table_name,relkind,row_level_security,comment\npublic,t,r,f,"two\nlines, ""q"""\npg_catalog,x,r,f,\\N\n')
     (tmp_path / "columns.json").write_text(json.dumps([{"schema_name": "public", "table_name": "t", "column_name": "a", "ordinal_position": 1, "data_type": "character varying(9)", "is_nullable": True}]))
+    (tmp_path / "ix.json").write_text(json.dumps([{"schema_name": "public", "table_name": "t", "index_name": "i", "is_unique": True, "method": "btree", "columns": ["a,b", None, 'q"'], "expressions": "lower(x)"}]))
     catalog = cat.Connectors().read("export", spark, str(tmp_path))
     assert cat.to_artifact(catalog, "x")["tables"][0]["columns"][0]["type"] == "varchar(9)" and catalog["tables"].where("table_name = 't'").first()["comment"] == 'two\nlines, "q"'
+    assert cat.folded_indexes(catalog["indexes"]).first()["columns"] == ["a,b", None, 'q"'] and cat.all_comments(catalog).count() == 1
     for text in ('schema_name\n"x', "schema_name,table_name\na,b\n"):
         (tmp_path / "tables.csv").write_text(text)
         with pytest.raises(ConnectorError):
@@ -175,6 +177,8 @@ def test_incremental_index(spark, tmp_path):
     store.upsert(store.read().where("schema_id = 't'").withColumn("text", F.lit("q")))
     assert store.count() == 2 and store.version() == 4
     assert [r["id"] for r in retriever(store.read(), 16)("x y", 1, schema_id="s").collect()] == ["a"]
+    told = []
+    assert refresh(store, now, embed, "h16", lambda e, c: told.append(e))["n_new"] == 1 and told == ["index_started", "index_finished"] and refresh(store, now, embed, "h16")["stale"] is False
     write_vector_file(store.read(), str(tmp_path / "file"))
     assert read_vector_file(spark, str(tmp_path / "file")).select("id", "embedding").orderBy("text").collect() == store.read().select("id", "embedding").orderBy("text").collect()
     (tmp_path / "file.bin").write_bytes(b"x")
