@@ -213,7 +213,7 @@ def _stitched(big: DataFrame) -> DataFrame:
     return big.join(stitched, ["item", "number"]).mapInArrow(_emit, _DDL)
 
 
-def split_items(items: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def split_items(items: DataFrame, range_bytes: int = RANGE_BYTES, largest: int | None = None) -> DataFrame:
     """Pieces of texts. ``items`` has a unique ``item``, ``text``, ``max_chars`` and ``overlap``.
 
     Texts are stripped of spaces, tabs, CR and LF at both ends; null and blank texts give no
@@ -224,6 +224,9 @@ def split_items(items: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     fewer to begin at a natural place. An overlap of over half the limit counts as half of it.
     A limit under 1 counts as 1. Pieces without their overlap rebuild the text exactly.
 
+    ``largest``, if known, is the most bytes that a text has: where no text needs several ranges, the plan
+    has no stitching.
+
     Returns item, piece_no (from 0), n_pieces, start_char, end_char and piece.
     """
     ready = items.select(
@@ -233,6 +236,8 @@ def split_items(items: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     ranges = _ranges(ready, range_bytes)
     data = F.expr("substring(whole, cast(`from` + 1 as int), cast(length as int))").alias("data")
     small = ranges.where("count = 1").select(*_COLUMNS, data)
+    if largest is not None and largest <= range_bytes:
+        return small.mapInArrow(_emit, _DDL)
     big = ranges.where("count > 1").select(*_COLUMNS, data)
     return small.mapInArrow(_emit, _DDL).unionAll(_stitched(big))
 
@@ -269,4 +274,5 @@ def split_chunks(chunks: DataFrame, limits: DataFrame, range_bytes: int = RANGE_
         F.col("id").alias("item"), "text", F.coalesce("max_chars", "d_max").alias("max_chars"),
         F.when(F.col("max_chars").isNull(), F.col("d_overlap")).otherwise(F.col("overlap")).alias("overlap"),
     )
-    return split_items(items, range_bytes).withColumnRenamed("item", "id")
+    largest = chunks.agg(F.max(F.octet_length("text"))).first()[0] or 0
+    return split_items(items, range_bytes, largest).withColumnRenamed("item", "id")
