@@ -11,6 +11,7 @@ import re
 import unicodedata
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -116,24 +117,34 @@ class Range:
     """One decoded byte range with its halos, in local character positions."""
 
     def __init__(self, data: bytes, data_at: int, number: int, count: int, size: int, max_chars: int) -> None:
+        if count == 1:
+            self.text = data.decode("utf-8", "replace")
+            self.base, self.owned, self.begin, self.end = 0, len(self.text), 0, len(self.text)
+            return
         raw = np.frombuffer(data, np.uint8)
         heads = (raw & 0xC0) != 0x80
         skip = int(np.argmax(heads)) if len(heads) and heads.any() else 0
         self.text = data[skip:].decode("utf-8", "replace") if number == count - 1 else data[skip:].decode("utf-8", "ignore")
         chars = np.concatenate([[0], np.cumsum(heads)])
         local = lambda byte: int(chars[min(max(byte - data_at, 0), len(raw))])
-        self.table = boundaries(self.text)
         self.base = local(number * size)
         self.owned = local((number + 1) * size) - self.base if number < count - 1 else len(self.text) - self.base
         self.begin = 0 if number == 0 else self.anchor(self.base, max_chars)
         self.end = len(self.text) if number == count - 1 else self.anchor(self.base + self.owned, max_chars)
 
+    @cached_property
+    def table(self) -> tuple[list[int], list[int]]:
+        """Boundaries of the range, found when first asked for: a text within its limit needs none."""
+        return boundaries(self.text)
+
     def anchor(self, at: int, max_chars: int) -> int:
         """Where the segment of the range that begins at ``at`` begins: a best place within one piece's length."""
         return best_cut(self.text, *self.table, at, min(at + max_chars, len(self.text)), at)
 
     def pieces(self, number: int, max_chars: int, overlap: int) -> list[tuple[int, int]]:
         """The segment's pieces."""
+        if number == 0 and 0 < self.end - self.begin <= max_chars:
+            return [(self.begin, self.end)]
         first = self.begin if number == 0 else overlap_start(*self.table, self.begin, overlap, max_chars)
         return cut_segment(self.text, self.begin, self.end, first, max_chars, overlap, self.table)
 
@@ -163,8 +174,7 @@ def _fetch(row: dict) -> bytes:
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Range]]:
     for batch in batches:
-        for i in range(batch.num_rows):
-            row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
+        for row in batch.to_pylist():
             yield row, Range(_fetch(row), row["from"], row["number"], row["count"], row["size"], row["max_chars"])
 
 
