@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalith.session import cut_lineage
@@ -178,12 +178,13 @@ class Settings:
 
 
 _RESULT = pa.schema([
-    ("kind", pa.int32()), ("group", pa.string()), ("shard", pa.int32()), ("id", pa.int64()), ("copy", pa.int64()),
+    ("kind", pa.int32()), ("group", pa.string()), ("shard", pa.int32()), ("salt", pa.int32()), ("id", pa.int64()), ("copy", pa.int64()),
     ("vector", pa.binary()), ("sim", pa.float64()), ("near", pa.list_(pa.struct([("neg", pa.float64()), ("id", pa.int64())]))),
 ])
-_RESULT_DDL = "kind int, group string, shard int, id long, copy long, vector binary, sim double, near array<struct<neg: double, id: long>>"
-RESULT, VISIT, COPIES, EXTRA = 0, 1, 2, 3
+_RESULT_DDL = "kind int, group string, shard int, salt int, id long, copy long, vector binary, sim double, near array<struct<neg: double, id: long>>"
+RESULT, VISIT, COPIES, EXTRA, SPLIT = 0, 1, 2, 3, 4
 SALTS = 64
+PUSHED_GROUPS = 1000
 
 
 def _near(found: Found) -> pa.Array:
@@ -316,7 +317,7 @@ def _first_copies(rows: np.ndarray, shard: Shard) -> Found:
     return found
 
 
-def _search_own(settings: Settings, routes: dict[str, Tree]):
+def _search_own(settings: Settings, routes: dict[str, Tree], salts: dict[str, int]):
     """Each shard against itself; of split groups also the visits to other shards that the bound doesn't rule out."""
 
     def finish(key: tuple, parts: list[dict[str, pa.Array]]) -> Iterator[pa.RecordBatch]:
@@ -330,14 +331,14 @@ def _search_own(settings: Settings, routes: dict[str, Tree]):
             if len(extra):
                 yield _rows(EXTRA, group, number, extra, copy=pa.array(np.full(len(extra), copy)))
         for rows, found in shard.own(settings.factor):
-            yield _rows(RESULT, group, number, shard.ids[rows], near=_near(found))
+            yield _rows(RESULT if route is None else SPLIT, group, number, shard.ids[rows], near=_near(found))
             if route is not None:
                 bounds = route.bounds(shard.points[rows]) * settings.factor <= reach(found.kth())[:, None]
                 bounds[:, number] = False
                 query, target = np.nonzero(bounds)
                 if len(query):
                     vectors = [shard.raw[r].tobytes() for r in rows]
-                    yield _rows(VISIT, group, target, shard.ids[rows[query]], vector=pa.array([vectors[q] for q in query], pa.binary()), sim=pa.array(found.kth()[query]))
+                    yield _rows(VISIT, group, target, shard.ids[rows[query]], salt=pa.array((shard.ids[rows[query]] % salts[group]).astype(np.int32)), vector=pa.array([vectors[q] for q in query], pa.binary()), sim=pa.array(found.kth()[query]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, parts = None, []
@@ -356,6 +357,21 @@ def _search_own(settings: Settings, routes: dict[str, Tree]):
     return run
 
 
+def _hosts(settings: Settings, routes: dict[str, Tree], salts: dict[str, int]):
+    """Members of the groups that have several shards, once for each part that their visits are split in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _prepare(settings, routes)(batches):
+            groups = np.array(batch.column("group").to_pylist(), object)
+            whole = np.asarray(batch.column("vector").is_valid())
+            for group in set(groups) & routes.keys():
+                mine = batch.filter(pa.array((groups == group) & whole))
+                for salt in range(salts[group]):
+                    yield _rows(RESULT, group, mine.column("shard").to_numpy(), mine.column("id").to_numpy(), salt=pa.array(np.full(mine.num_rows, salt, np.int32)), vector=mine.column("vector"))
+
+    return run
+
+
 def _search_visits(settings: Settings):
     """Members come first in each run, then the visiting queries, which stream by."""
 
@@ -420,56 +436,59 @@ def nearest(vectors: DataFrame, group: str, key: str, vector: str, settings: Set
     source = vectors.select(F.col(group).cast("string").alias("group"), F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("embedding")).where("group IS NOT NULL AND id IS NOT NULL AND embedding IS NOT NULL")
     large = {r["group"]: r["count"] for r in source.groupBy("group").count().where(F.col("count") > settings.shard_rows).collect()}
     routes = _routes(source, large, settings)
-    shared = spark.sparkContext.broadcast(routes)
+    salts = {g: max(1, n // SALT_ROWS) for g, n in large.items()}
+    shared = spark.sparkContext.broadcast((routes, salts))
     ready_ddl = "group string, shard int, id long, copy long, vector binary"
-    prepare = lambda df: df.mapInArrow(lambda it: _prepare(settings, shared.value)(it), ready_ddl)
-    salted = prepare(source).withColumn("salt", F.when(F.col("vector").isNull(), F.pmod("id", F.lit(SALTS)).cast("int") + 1).otherwise(0))
+    ready = source.mapInArrow(lambda it: _prepare(settings, shared.value[0])(it), ready_ddl)
+    salted = ready.withColumn("salt", F.when(F.col("vector").isNull(), F.pmod("id", F.lit(SALTS)).cast("int") + 1).otherwise(0))
     shards = salted.repartition("group", "shard", "salt").sortWithinPartitions("group", "shard", "salt", "id")
-    at_home = cut_lineage(shards.mapInArrow(lambda it: _search_own(settings, shared.value)(it), _RESULT_DDL))
+    at_home = cut_lineage(shards.mapInArrow(lambda it: _search_own(settings, *shared.value)(it), _RESULT_DDL))
     results = at_home.where(F.col("kind") == RESULT).select("group", "id", "near")
     further = at_home.where(F.col("kind") == EXTRA).select("group", "copy", "id").distinct()
     firsts = at_home.where(F.col("kind") == COPIES).select("group", "copy", "near")
     copied = further.join(firsts, ["group", "copy"]).where("NOT exists(near, x -> x.id = id)").select("group", "id", F.slice("near", 1, settings.k).alias("near"))
-    if not large:
+    if not routes:
         return _named(results.unionAll(copied), group, key)
-    salts = {g: max(1, n // SALT_ROWS) for g, n in large.items()}
-    salt_of = F.element_at(F.create_map(*[F.lit(x) for pair in salts.items() for x in pair]), F.col("group"))
-    split = F.col("group").isin(list(large))
-    visits = at_home.where(F.col("kind") == VISIT).select("group", "shard", F.pmod("id", salt_of).cast("int").alias("salt"), "kind", "id", "vector", "sim")
-    hosts = (
-        prepare(source.where(split)).where("vector IS NOT NULL")
-        .select("group", "shard", F.explode(F.sequence(F.lit(0), salt_of - 1)).alias("salt"), F.lit(RESULT).alias("kind"), "id", "vector", F.lit(None).cast("double").alias("sim"))
-    )
+    few = source.where(F.col("group").isin(list(routes))) if len(routes) <= PUSHED_GROUPS else source
+    columns = ("group", "shard", "salt", "kind", "id", "vector", "sim")
+    hosts = few.mapInArrow(lambda it: _hosts(settings, *shared.value)(it), _RESULT_DDL).select(*columns)
+    visits = at_home.where(F.col("kind") == VISIT).select(*columns)
     away = (
-        hosts.unionByName(visits).repartition("group", "shard", "salt").sortWithinPartitions("group", "shard", "salt", "kind", "id")
+        hosts.unionAll(visits).repartition("group", "shard", "salt").sortWithinPartitions("group", "shard", "salt", "kind", "id")
         .mapInArrow(lambda it: _search_visits(settings)(it), _RESULT_DDL).select("group", "id", "near")
     )
     best = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, settings.k).alias("near")
-    merged = results.where(split).unionAll(away).groupBy("group", "id").agg(best)
-    return _named(results.where(~split).unionAll(merged).unionAll(copied), group, key)
+    merged = at_home.where(F.col("kind") == SPLIT).select("group", "id", "near").unionAll(away).groupBy("group", "id").agg(best)
+    return _named(results.unionAll(merged).unionAll(copied), group, key)
 
 
 def _named(df: DataFrame, group: str, key: str) -> DataFrame:
     return df.select(F.col("group").alias(group), F.col("id").alias(key), "near")
 
 
+def _shard_count(n: int, settings: Settings) -> int:
+    return 2 ** int(np.ceil(np.log2(n / settings.shard_rows)))
+
+
 def _routes(source: DataFrame, large: dict[str, int], settings: Settings) -> dict[str, Tree]:
     """A routing tree for each group that needs several shards, from a bounded sample."""
     if not large:
         return {}
-    shards = {g: 2 ** int(np.ceil(np.log2(n / settings.shard_rows))) for g, n in large.items()}
-    wanted = sum(shards.values()) * SAMPLE_PER_SHARD
-    thin = min(1.0, MAX_SAMPLE / wanted) * SAMPLE_PER_SHARD
-    share: Column = F.element_at(F.create_map(*[F.lit(x) for g in large for x in (g, min(1.0, shards[g] * thin / large[g]))]), F.col("group"))
+    share = min(1.0, 2 * SAMPLE_PER_SHARD / settings.shard_rows, MAX_SAMPLE / sum(large.values()))
     draw = F.pmod(F.xxhash64(F.lit(29), "id"), F.lit(2**31)) / F.lit(float(2**31))
-    rows = source.where(F.col("group").isin(list(large))).where(draw < share).where(F.size("embedding") == settings.dimension).limit(2 * MAX_SAMPLE).collect()
+    few = source.where(F.col("group").isin(list(large))) if len(large) <= PUSHED_GROUPS else source
+    drawn = few.where(draw < share).where(F.size("embedding") == settings.dimension)
+    by_group: dict[str, list] = {}
+    for r in drawn.select("group", "embedding").limit(2 * MAX_SAMPLE).collect():
+        if r["group"] in large and None not in r["embedding"]:
+            by_group.setdefault(r["group"], []).append(r["embedding"])
     routes = {}
     for group in large:
-        sample = np.array([r["embedding"] for r in rows if r["group"] == group and None not in r["embedding"]], np.float32).reshape(-1, settings.dimension)
+        sample = np.array(by_group.get(group, []), np.float32).reshape(-1, settings.dimension)
         sample = sample[np.isfinite(sample).all(axis=1) & (sample != 0).any(axis=1)]
         if len(sample) < 2:
             continue
-        tree = Tree(unit(np.unique(sample, axis=0)), leaf=1, depth=int(np.log2(shards[group])))
+        tree = Tree(unit(np.unique(sample, axis=0)), leaf=1, depth=int(np.log2(_shard_count(large[group], settings))))
         tree.path = [tuple((n, 0.0 if i == 0 else lo, hi) for i, (n, lo, hi) in enumerate(p)) for p in tree.path]
         routes[group] = _widened(tree)
     return routes
