@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Referential actions by their one-letter catalog codes and by name.
-ACTIONS = {"a": "no_action", "r": "restrict", "c": "cascade", "n": "set_null", "d": "set_default", "NO ACTION": "no_action", "NO_ACTION": "no_action", "RESTRICT": "restrict", "CASCADE": "cascade", "SET NULL": "set_null", "SET_NULL": "set_null", "SET DEFAULT": "set_default", "SET_DEFAULT": "set_default"}
+ACTIONS = {"a": "no action", "r": "restrict", "c": "cascade", "n": "set null", "d": "set default"}
 # The 32-bit FNV-1a parameters.
 FNV_OFFSET, FNV_PRIME = 2166136261, 16777619
 
@@ -92,13 +92,14 @@ def column_id(schema: Column, name: Column, column: Column) -> Column:
 
 
 def redact_url(value: Column) -> Column:
-    """Password in a connection URL replaced (X-26)."""
-    return F.regexp_replace(value, r"(://[^:/@\s]+:)[^@\s]+@", "$1***@")
+    """Scheme, host and path of a connection URL, without credentials and options (X-26); a fixed phrase for other shapes."""
+    found = F.regexp_extract(value, r"^([A-Za-z][A-Za-z0-9+.-]*://)(?:[^/?#]*@)?([^/?#@]+[^?#]*)", 2)
+    return F.when(value.isNotNull(), F.when(found != "", F.concat(F.regexp_extract(value, r"^([A-Za-z][A-Za-z0-9+.-]*://)", 1), found)).otherwise("configured connection"))
 
 
 def schema_id_of_path(path: Column) -> Column:
-    """Last folder or file name without schema suffixes (X-27)."""
-    return F.regexp_replace(F.regexp_extract(path, r"([^/\\]+)[/\\]*$", 1), r"(\.schema)?(\.json)?$", "")
+    """Last part of a path without its ``.schema`` ending (X-27)."""
+    return F.regexp_replace(F.regexp_extract(path, r"([^/\\]+)[/\\]*$", 1), r"\.schema$", "")
 
 
 def array_literal(value: Column) -> Column:
@@ -110,9 +111,10 @@ def array_literal(value: Column) -> Column:
 
 
 def referential_action(code: Column) -> Column:
-    """Action name of a catalog code or phrase (X-20); no_action if unknown or null."""
+    """Action of a catalog code or phrase, in words (X-20); null if unknown or null."""
     pairs = [F.lit(x) for pair in ACTIONS.items() for x in pair]
-    return F.coalesce(F.create_map(*pairs)[code], F.lit("no_action"))
+    words = F.lower(F.translate(code, "_", " "))
+    return F.coalesce(F.create_map(*pairs)[code], F.when(words.isin(list(ACTIONS.values())), words))
 
 
 def is_date(value: Column) -> Column:
@@ -122,17 +124,17 @@ def is_date(value: Column) -> Column:
 
 def may_be_enum(type_name: Column) -> Column:
     """Textual types whose values could be listed."""
-    return F.lower(type_name).rlike(r"^(text|citext|varchar|char|character|nvarchar|nchar|string|enum)")
+    name = F.lower(type_name)
+    return name.isin("text", "citext") | name.startswith("varchar") | name.startswith("char") | (name.contains("enum") & ~name.endswith("[]"))
 
 
 def sqlserver_type(name: Column, max_length: Column, precision: Column, scale: Column) -> Column:
     """Type with its modifiers as the engine declares it (X-17): wide types count two bytes a character, -1 is max."""
-    wide = name.isin("nvarchar", "nchar")
-    length = F.when(max_length == -1, "max").otherwise(F.when(wide, F.floor(max_length / 2)).otherwise(max_length).cast("string"))
-    return (
-        F.when(name.isin("varchar", "char", "nvarchar", "nchar", "varbinary", "binary"), F.concat(name, F.lit("("), length, F.lit(")")))
-        .when(name.isin("decimal", "numeric"), F.format_string("%s(%d,%d)", name, precision, scale)).otherwise(name)
-    )
+    kind = F.lower(name)
+    length = F.when(max_length == -1, "max").otherwise(F.when(kind.isin("nvarchar", "nchar"), F.floor(max_length / 2)).otherwise(max_length).cast("string"))
+    sized = F.concat(name, F.lit("("), length, F.lit(")"))
+    exact = F.concat(name, F.lit("("), precision.cast("string"), F.lit(","), scale.cast("string"), F.lit(")"))
+    return F.when(kind.isin("varchar", "char", "nvarchar", "nchar", "varbinary", "binary"), sized).when(kind.isin("decimal", "numeric"), exact).otherwise(name)
 
 
 def sqlite_type(declared: Column) -> Column:

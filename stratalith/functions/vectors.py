@@ -23,10 +23,14 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
 
 
+def tokens(text: Column) -> Column:
+    """Lower-case runs of a-z, 0-9 and underscore."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), 0)
+
+
 def token_buckets(text: Column, dimensions: int) -> Column:
     """Bucket of every token: lower-case runs of a-z, 0-9 and underscore, by FNV-1a."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), 0)
-    return F.transform(tokens, lambda t: F.pmod(fnv1a(t), F.lit(dimensions)).cast("int"))
+    return F.transform(tokens(text), lambda t: F.pmod(fnv1a(t), F.lit(dimensions)).cast("int"))
 
 
 def hashed_embedding(text: Column, dimensions: int = 64) -> Column:

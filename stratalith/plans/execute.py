@@ -16,7 +16,7 @@ from stratalith.plans.dialects import DIALECTS, Dialect
 from stratalith.plans.guard import explain, inspect, validate
 from stratalith.plans.lexer import placeholders, same_statement, tenant_placeholders
 from stratalith.plans.logs import EventLog
-from stratalith.plans.parameters import Parameter, Prepared, bind, fence, parse_manifest
+from stratalith.plans.parameters import Parameter, Prepared, bind, fence, parse_manifest, statement_of
 from stratalith.plans.prompt import ambiguity_notes, build_prompt, check_inputs, ddl_lines, ddl_text, referenced_tables
 from stratalith.sources.artifact import Artifact, frames
 
@@ -158,7 +158,7 @@ class Engine:
                 reply = self.model("You write SQL.", prompt)
             except Exception as error:  # noqa: BLE001 - a model fails in its own ways
                 raise GenerationError(f"the model failed: {type(error).__name__}", "MODEL_FAILED") from error
-        sql = fence(reply, "sql", "")
+        sql = statement_of(reply)
         if sql is None:
             raise StatementError("the reply has no statement", "SQL_EMPTY")
         named, declared, prepared = None, (), None

@@ -64,6 +64,15 @@ def fence(text: str, *tags: str) -> str | None:
     return None
 
 
+def statement_of(reply: str) -> str | None:
+    """The reply's statement: a block tagged sql, else one without a tag, else the whole reply if it has no tagged block (X-6)."""
+    for pattern in (r"```sql(?![\w-])\s*(.*?)```", r"```(?![A-Za-z])\s*(.*?)```"):
+        found = re.search(pattern, reply, re.S | re.I)
+        if found and found[1].strip():
+            return found[1].strip()
+    return None if re.search(r"```[A-Za-z]", reply) else reply.strip() or None
+
+
 def check_value(kind: str, value: Any) -> Any:
     """The value if it is of the kind; errors never show the value."""
     right = {

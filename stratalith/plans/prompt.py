@@ -92,7 +92,7 @@ def ambiguity_notes(question: str, tables: Iterable[str]) -> list[str]:
     """Notes on a question that doesn't fit the schema."""
     known = {t.lower() for t in tables}
     out = []
-    if len(known) == 1 and re.search(r"(?i)\b(join(ed|s)?|relat(ed|ion|ionship)s?|across tables|combine[ds]?)\b", question):
+    if len(known) == 1 and re.search(r"(?i)\b(joins?|joined|together with|along with|versus|vs\.?|compare|both tables|each other|relationship between|how they relate)\b", question):
         out.append(f"There is only one table, {next(iter(known))}; join no others.")
     named = dict.fromkeys(m.lower() for m in re.findall(r"(?i)\b(?:from|join)\s+(?:the\s+)?[\"`]?([a-z_][a-z0-9_]*)", question))
     out += [f"The question names {n}, which isn't a table; there are {', '.join(sorted(known))}." for n in named if n not in known]

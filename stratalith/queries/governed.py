@@ -270,7 +270,7 @@ def oracle_sql() -> dict[str, str]:
             ('orphaned_column_id', 'table:public.orders#o_planet'), ('orphaned_global_table_id', 'table:public.currency')) t(kind, id)""",
         "catalog_column_list": f"""SELECT 'table:public.' || table_name AS table_id, 'table:public.' || table_name || '#' || column_name AS column_id, ordinal_position
             FROM information_schema.columns WHERE table_name IN ({_NAMES})""",
-        "catalog_fk_fold": """SELECT * FROM (VALUES ('fk_product', 'tenant_id,sku', 'tenant_id,sku', 'cascade', 'no_action'), ('fk_store', 'tenant_id,store_code', 'tenant_id,code', 'no_action', 'no_action'))
+        "catalog_fk_fold": """SELECT * FROM (VALUES ('fk_product', 'tenant_id,sku', 'tenant_id,sku', 'cascade', NULL), ('fk_store', 'tenant_id,store_code', 'tenant_id,code', 'no action', NULL))
             t(constraint_name, columns, referenced_columns, on_delete, on_update)""",
         "catalog_key_fold": """SELECT * FROM (VALUES ('table:public.region', 'r_regionkey'), ('table:public.nation', 'n_nationkey'), ('table:public.customer', 'c_custkey'), ('table:public.supplier', 's_suppkey'),
             ('table:public.part', 'p_partkey'), ('table:public.orders', 'o_orderkey'), ('table:public.lineitem', 'l_orderkey,l_linenumber'), ('table:public.events', 'event_id')) t(table_name, columns)""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stratalith.functions.text import bullets, candidates, column_of, comma_list, content_hash, dash_slug, fenced_block, fnv1a, is_date, plain_sql, table_of, underscore_slug
 from stratalith.functions.types import shorten_type, shorten_type_sql
-from stratalith.functions.vectors import cosine, norm, token_buckets
+from stratalith.functions.vectors import cosine, norm, token_buckets, tokens
 from stratalith.operators.chunks import build_chunks, chunk_stats, packed_paragraphs
 from stratalith.operators.index import SCHEMA, compare, entry_filter, hashed_embedder, reindex, search, stale
 from stratalith.plans.prompt import referenced_tables
@@ -82,7 +82,8 @@ def index_rebuilt(spark: SparkSession, folder: str) -> DataFrame:
 
 def mock_embed_buckets(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of all documents by bucket of the hashed embedder."""
-    return table(spark, folder, "documents").select(F.explode(token_buckets(F.col("text"), 64)).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n_tokens"))
+    words = table(spark, folder, "documents").select(F.explode(tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return words.groupBy(token_buckets(F.col("token"), 64)[0].alias("bucket")).agg(F.sum("n").alias("n_tokens"))
 
 
 def token_hashes(spark: SparkSession, folder: str) -> DataFrame:

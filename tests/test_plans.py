@@ -15,7 +15,7 @@ from stratalith.plans.execute import Engine, drop_history, envelope, latest_hist
 from stratalith.plans.guard import explain, inspect, validate, verdict
 from stratalith.plans.lexer import code_only, placeholders, same_statement, spans
 from stratalith.plans.logs import EventLog
-from stratalith.plans.parameters import Parameter, Prepared, bind, cross_check, literal, parse_manifest
+from stratalith.plans.parameters import Parameter, Prepared, bind, cross_check, literal, parse_manifest, statement_of
 from stratalith.plans.prompt import ambiguity_notes
 from stratalith.queries.star import _id, star_artifact, star_policy, star_tables
 
@@ -93,6 +93,11 @@ def test_manifest_errors(text, code):
     assert error.value.code == code
 
 
+def test_statement_of_a_reply():
+    assert statement_of("```sql-unbound\nx\n```\n```SQL select 1 ```") == "select 1" and statement_of("a ```\nselect 2\n``` b") == "select 2"
+    assert statement_of(" select 3 ") == "select 3" and statement_of("```json\n{}\n```") is None and statement_of("") is None
+
+
 def test_binding():
     prepared = Prepared("postgres", "select * from t where a = :a and b in (:b) and c not in (:b) and d = ':a'", (Parameter("a", "string"), Parameter("b", "number", True)))
     bound = bind(prepared, {"a": "o'x\\", "b": [1, 2.5]}, POSTGRES)
@@ -192,7 +197,7 @@ def test_ask_runs_and_checks(engine):
     assert "c_acctbal" not in seen[0] and "TABLE public.orders" in seen[0] and "orders" not in log.getvalue()
     engine.model = lambda system, prompt: good.replace("= :st", "<> :st")
     assert engine.ask("x", scope).prepared is None
-    for text in ("nothing", "```sql\ndelete from orders\n```"):
+    for text in ("nothing", "```json\n{}\n```", "```sql\ndelete from orders\n```"):
         engine.model = lambda system, prompt, text=text: text
         with pytest.raises(EngineError):
             engine.ask("x", scope)

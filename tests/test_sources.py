@@ -121,7 +121,7 @@ def test_prisma(spark, tmp_path):
     kinds = {(r["table_name"], r["column_name"]): r["data_type"] for r in catalog["columns"].collect()}
     assert kinds == {("users", "id"): "integer", ("users", "tags"): "text[]", ("users", "geo"): "point", ("users", "role"): "role", ("Post", "a"): "integer", ("Post", "bee"): "integer"}
     key = cat.folded_foreign_keys(catalog["foreign_keys"]).first()
-    assert (key["referenced_table_name"], key["columns"], key["on_delete"]) == ("users", ["a"], "set_null")
+    assert (key["referenced_table_name"], key["columns"], key["on_delete"]) == ("users", ["a"], "set null")
     assert cat.folded_keys(catalog["primary_keys"]).where("table_name = 'Post'").first()["columns"] == ["a", "bee"] and cat.folded_enums(catalog["enums"]).first()["values"] == ["USER", "ADMIN"]
 
 
@@ -206,7 +206,7 @@ def test_functions(spark):
         tx.underscore_slug(F.col("a")), tx.array_literal(F.col("b")), tx.redact_url(F.col("c")), cosine(F.col("v"), F.col("v")), tx.fnv1a(F.lit("a")), tx.may_be_enum(F.lit("varchar(3)")),
         tx.sqlserver_type(F.lit("nvarchar"), F.lit(80), F.lit(0), F.lit(0)), tx.sqlserver_type(F.lit("varchar"), F.lit(-1), F.lit(0), F.lit(0)), tx.sqlite_type(F.lit(" ")), tx.schema_id_of_path(F.lit("/x/orders.schema/")), F.size(hashed_embedding(F.lit(""), 8)),
     ).first()
-    assert list(row) == ["sub_agency", ["a", None, "b,c"], "postgres://u:***@h/d", 1.0, 0xE40C292C, True, "nvarchar(40)", "varchar(max)", "BLOB", "orders", 8]
+    assert list(row) == ["sub_agency", ["a", None, "b,c"], "postgres://h/d", 1.0, 0xE40C292C, True, "nvarchar(40)", "varchar(max)", "BLOB", "orders", 8]
 
 
 def test_prompt_text(spark):
