@@ -60,3 +60,16 @@ def ship_package(spark: SparkSession) -> None:
             bundle.write(path, path.relative_to(root.parent))
     context.addPyFile(str(target))
     context._stratalith_shipped = True
+
+
+def spread(df: DataFrame, least_bytes: int = 1 << 19) -> DataFrame:
+    """``df`` over all cores, if it is a scan of fewer partitions than there are cores (one small file, say).
+
+    A scan that fills the cores, as any large one does, is left as it is, without a shuffle; so is a plan
+    that already has one. No partition is made for under ``least_bytes`` of input.
+    """
+    execution = df._jdf.queryExecution()
+    if "Exchange" in execution.executedPlan().toString():
+        return df
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, int(execution.optimizedPlan().stats().sizeInBytes().longValue() // least_bytes))
+    return df.repartition(wanted) if execution.toRdd().getNumPartitions() < wanted else df
