@@ -20,6 +20,8 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalith.session import spread
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-token pattern that belongs to the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -238,7 +240,7 @@ def encode_column(df: DataFrame, text: str, keep: list[str], vocabulary: str = D
     are encoded, however long (a word of over 512 bytes is contracted by a heap in place of
     the query, whose cost is quadratic in the word).
 
-    Scale: one narrow Arrow pass, no shuffle. The vocabulary (under 1 MB, fixed by its format)
+    Scale: one narrow Arrow pass, no shuffle (a scan of fewer partitions than cores is spread first). The vocabulary (under 1 MB, fixed by its format)
     is read on the driver and broadcast; caches are bounded.
     """
     return _apply(df, text, keep, vocabulary, ids=True)
@@ -271,5 +273,5 @@ def _apply(df: DataFrame, text: str, keep: list[str], vocabulary: str, ids: bool
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays([*(rows.column(f.name) for f in kept), out], names=[*(f.name for f in kept), "_out"])
 
-    result = source.mapInArrow(run, schema)
+    result = spread(source).mapInArrow(run, schema)
     return result.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keep)], F.col("_out").alias("ids" if ids else "n_tokens"))

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalith.session import spread
+
 MAX_LABELLED = 8_000
 MAX_TERMS = 3_000
 MAX_AREAS = 500
@@ -252,4 +254,4 @@ def assign_areas(documents: DataFrame, chain: Chain) -> DataFrame:
                 row, area = np.nonzero(found)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(np.array(real, np.int64)[row])), pa.array(names[area].tolist(), pa.string())], names=["doc_id", "area"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").mapInArrow(run, "doc_id long, area string")
+    return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")).mapInArrow(run, "doc_id long, area string")
