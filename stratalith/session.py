@@ -71,5 +71,5 @@ def spread(df: DataFrame, least_bytes: int = 1 << 19) -> DataFrame:
     execution = df._jdf.queryExecution()
     if "Exchange" in execution.executedPlan().toString():
         return df
-    wanted = min(df.sparkSession.sparkContext.defaultParallelism, int(execution.optimizedPlan().stats().sizeInBytes().longValue() // least_bytes))
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, int(str(execution.optimizedPlan().stats().sizeInBytes())) // least_bytes)
     return df.repartition(wanted) if execution.toRdd().getNumPartitions() < wanted else df
