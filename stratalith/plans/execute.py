@@ -58,12 +58,12 @@ class Engine:
     the scope's rows, in a session of their own in which nothing else can be named.
     """
 
-    def __init__(self, spark: SparkSession, artifact: Artifact, tables: Mapping[str, DataFrame], policy: tenancy.Policy | None = None, model: Model | None = None, dialect: str | None = None, log: EventLog | None = None, retriever: Callable[..., DataFrame] | None = None) -> None:
+    def __init__(self, spark: SparkSession, artifact: Artifact, tables: Mapping[str, DataFrame], policy: tenancy.Policy | None = None, model: Model | None = None, dialect: str | None = None, log: EventLog | None = None, retriever: Callable[..., DataFrame] | None = None, chunk_count: int | None = None) -> None:
         self.spark, self.artifact, self.tables, self.model = spark, artifact, dict(tables), model
         self.policy = policy or (tenancy.parse_policy(artifact.policy) if artifact.policy else None)
         self.dialect: Dialect = DIALECTS.get(dialect or "spark", DIALECTS["spark"])
         self.log = log
-        self.retriever = retriever
+        self.retriever, self.chunk_count = retriever, chunk_count
         self.frames = frames(spark, artifact)
 
     def _say(self, event: str, **fields: Any) -> None:
@@ -125,16 +125,24 @@ class Engine:
         return Prepared(self.dialect.id, validate(named, self.dialect), parameters)
 
     def schema_text(self, question: str) -> str:
-        """Schema for the prompt: whole if it is small or nothing is retrieved, else the tables that retrieved chunks refer to."""
-        if self.retriever is None:
+        """Schema for the prompt.
+
+        Whole if there is no retriever, at most 30 chunks, or nothing found; else the tracked tables that the found chunks refer to, with
+        all their columns in schema order, followed by the found concepts, questions, relationships and rules.
+        """
+        whole = lambda only=None: ddl_text(ddl_lines(self.frames["tables"], self.frames["columns"], omit=True, only=only))
+        if self.retriever is None or (self.chunk_count is not None and self.chunk_count <= RETRIEVAL_THRESHOLD):
             self._say("retrieval_skipped")
-            return ddl_text(ddl_lines(self.frames["tables"], self.frames["columns"], omit=True))
+            return whole()
+        self._say("retrieval_started")
         hits = self.retriever(question)
         only = referenced_tables(hits)
         if only.isEmpty():
             self._say("retrieval_skipped")
-            only = None
-        return ddl_text(ddl_lines(self.frames["tables"], self.frames["columns"], omit=True, only=only))
+            return whole()
+        others = [r["text"] for r in hits.where("NOT sensitive AND type NOT IN ('table', 'column')").orderBy("type", "id").select("text").collect()]
+        self._say("retrieval_finished", others=len(others))
+        return "\n\n".join([whole(only), *others])
 
     def ask(self, question: str, scope: Mapping[str, Any] | None = None, mode: str = "schema_only", parameters: bool = True, generator: Callable[[str, str], str] | None = None) -> Answer:
         """Question to answer: scope, prompt, model, checks, run (P1). A custom generator's statement is checked like any other."""

@@ -218,6 +218,23 @@ def test_envelope_and_history(engine, spark, tmp_path):
     assert [r["id"] for r in latest_history(spark.read.parquet(str(tmp_path / "h")), 2).collect()] == ["2", "1"]
 
 
+def test_retrieval_gate(spark):
+    from stratalith.operators.chunks import build_chunks
+    from stratalith.operators.index import SCHEMA, hashed_embedder, reindex, retriever
+
+    plain = Engine(spark, star_artifact(), star_tables(spark, SMALL))
+    found = plain.frames
+    chunks = build_chunks(found["tables"], found["columns"], found["relationships"])
+    find = retriever(reindex(chunks, spark.createDataFrame([], SCHEMA), hashed_embedder(), "h").cache())
+    gated = Engine(spark, star_artifact(), star_tables(spark, SMALL), retriever=lambda q: find(q, 3), chunk_count=99)
+    text = gated.schema_text("Which orders are open?")
+    assert "TABLE public.orders" in text and "TABLE public.part" not in text and "o_orderpriority" in text and "example question" in text
+    gated.chunk_count = 30
+    assert gated.schema_text("Which orders are open?") == plain.schema_text("x")
+    gated.chunk_count, gated.retriever = 99, lambda q: find(q, 3).where("false")
+    assert gated.schema_text("x") == plain.schema_text("x")
+
+
 def test_usage_and_history_deletion(spark):
     assert total_usage([{"prompt": 3, "completion": 4}, {"embedding": 5}, {}]) == {"total": 12, "prompt": 3, "completion": 4, "embedding": 5}
     assert total_usage([])["total"] is None
