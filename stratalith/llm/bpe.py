@@ -12,7 +12,7 @@ import base64
 import heapq
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -176,12 +176,20 @@ class Encoder:
         split = [self.split(t) if t else [] for t in texts]
         counts = np.array([len(s) for s in split], np.int64)
         units = list(chain.from_iterable(split))
-        distinct = set(units)
-        if len(self.unit_index) + len(distinct) > CACHE_UNITS or len(self.flat) > CACHE_IDS:
-            self.clear()
-        if new := list(distinct - self.unit_index.keys()):
+        codes = self._known(units)
+        missing = np.flatnonzero(codes < 0).tolist()
+        if missing:
+            new = list(dict.fromkeys([units[i] for i in missing]))
+            if len(self.unit_index) + len(new) > CACHE_UNITS or len(self.flat) > CACHE_IDS:
+                self.clear()
+                new, missing = list(dict.fromkeys(units)), range(len(units))
             self._learn(new)
-        return np.fromiter(map(self.unit_index.__getitem__, units), np.int64, len(units)), counts
+            codes[missing] = self._known([units[i] for i in missing])
+        return codes, counts
+
+    def _known(self, units: list[str]) -> np.ndarray:
+        """Numbers of units, -1 for those not in the cache."""
+        return np.fromiter(map(self.unit_index.get, units, repeat(-1)), np.int64, len(units))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and how many each text has."""
