@@ -7,6 +7,7 @@ table whose rows carry their parent's surrogate key and their place in the array
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -15,11 +16,17 @@ from pyspark.sql import functions as F
 from stratalith.session import cut_lineage
 
 MAX_OBJECT_FIELDS = 200
+# Places whose types are looked at in one aggregate; the rest follow in further ones.
+MAX_PLACES = 100
 
 
 @dataclass
 class Node:
-    """Merged type of one place in the documents: an object, an array or a scalar."""
+    """Merged type of one place in the documents: an object, an array or a scalar.
+
+    A place whose type conflicts has kind VARIANT, with the fields of those values that are
+    objects and the element of those that are arrays.
+    """
 
     kind: str
     fields: dict[str, Node] = field(default_factory=dict)
@@ -94,9 +101,44 @@ def _get(value: Column, name: str, kind: str) -> Column:
 
 
 def infer_schema(documents: DataFrame, document: str) -> Node:
-    """Merged schema of all documents; fields whose types conflict are variants."""
+    """Merged schema of all documents; fields whose types conflict are variants.
+
+    Where types conflict, the objects and the arrays among the values are merged apart, so
+    that what deviates in one document hides nothing of the others. Scale: one more
+    aggregate for each array level that holds conflicts.
+    """
     merged = documents.agg(F.schema_of_variant_agg(document).alias("s")).first()["s"]
-    return parse_schema(merged) if merged else Node("object")
+    schema = parse_schema(merged) if merged else Node("object")
+    if _conflicts(schema):
+        _refine(documents.select(F.col(document).alias("element")).where("element IS NOT NULL"), schema)
+    return schema
+
+
+def _conflicts(node: Node) -> bool:
+    below = [*node.fields.values(), *([node.element] if node.element else [])]
+    return node.kind == "VARIANT" or any(map(_conflicts, below))
+
+
+def _places(value: Column, node: Node) -> Iterator[tuple[Column, Node]]:
+    """A value and all fields in it that need no explode."""
+    yield value, node
+    for name, child in node.fields.items():
+        yield from _places(_get(value, name, "variant"), child)
+
+
+def _refine(level: DataFrame, node: Node) -> None:
+    """Fields and elements of the places of one level whose types conflict, then of the levels below."""
+    known: set[int] = set()
+    while found := [(v, n) for v, n in _places(F.col("element"), node) if n.kind == "VARIANT" and id(n) not in known][:MAX_PLACES]:
+        shapes = [F.schema_of_variant_agg(F.when(F.schema_of_variant(v).startswith(kind), v)) for v, _ in found for kind in ("OBJECT", "ARRAY")]
+        merged = [parse_schema(s) if s else Node("VOID") for s in level.agg(*[s.alias(f"s{i}") for i, s in enumerate(shapes)]).first()]
+        for (_, n), whole, array in zip(found, merged[::2], merged[1::2]):
+            known.add(id(n))
+            n.fields, n.element = whole.fields, array.element
+    for value, n in _places(F.col("element"), node):
+        if n is not node and n.element is not None and _conflicts(n.element):
+            below = level.select(F.explode(F.try_variant_get(value, "$", "array<variant>")).alias("element"))
+            _refine(below.where(F.col("element").isNotNull() & ~F.is_variant_null("element")), n.element)
 
 
 def flatten_documents(documents: DataFrame, key: str, document: str, schema: Node | None = None) -> dict[str, DataFrame]:
@@ -110,9 +152,11 @@ def flatten_documents(documents: DataFrame, key: str, document: str, schema: Nod
     (the variant itself) and a typed ``f_<name>`` column per scalar field of the merged
     schema. Fields absent from a document are null. Objects inside objects are joined
     to their parent by dotted names; an object with more than 200 distinct fields (a map
-    in disguise) is kept as JSON text, as are fields whose types conflict. Arrays of scalars
-    become child tables with ``value``. Where a field holds no array in some document, that
-    document gives no child rows.
+    in disguise) is kept as JSON text, as are fields whose types conflict; arrays inside
+    either become child tables all the same, and fields of conflicting objects columns.
+    Arrays of scalars become child tables with ``value``; an array directly inside an array
+    stays JSON text there. Where a field holds no array in some document, that document
+    gives no child rows. Of paths that coincide the later get a number.
 
     Scale: each document is parsed once; each level is one generate step without shuffle.
     """
@@ -137,25 +181,31 @@ def flatten_documents(documents: DataFrame, key: str, document: str, schema: Nod
             taken.add(name.lower())
             return name
 
-        def walk(prefix: str, value: Column, current: Node) -> None:
+        def walk(prefix: str, value: Column, current: Node, wide: bool = False) -> None:
+            """Columns and arrays of an object; of a wide one, which is a column itself, the arrays only."""
             for name, child in current.fields.items():
                 dotted = f"{prefix}{name}"
                 if child.kind == "array":
                     arrays.append((dotted, _get(value, name, "array<variant>"), child))
-                elif child.kind == "object" and len(child.fields) <= MAX_OBJECT_FIELDS:
-                    walk(f"{dotted}.", _get(value, name, "variant"), child)
                 elif child.kind in ("object", "VARIANT"):
                     raw = _get(value, name, "variant")
-                    columns.append(F.when(~F.is_variant_null(raw), F.coalesce(F.try_variant_get(raw, "$", "string"), F.to_json(raw))).alias(label(dotted)))
-                    if child.kind == "VARIANT":
-                        arrays.append((dotted, F.try_variant_get(raw, "$", "array<variant>"), Node("array", element=Node("VARIANT"))))
-                else:
+                    inner_wide = wide or len(child.fields) > MAX_OBJECT_FIELDS
+                    if not wide and (inner_wide or child.kind == "VARIANT"):
+                        columns.append(F.when(~F.is_variant_null(raw), F.coalesce(F.try_variant_get(raw, "$", "string"), F.to_json(raw))).alias(label(dotted)))
+                    if child.kind == "VARIANT" and (child.element or not wide):
+                        arrays.append((dotted, F.try_variant_get(raw, "$", "array<variant>"), Node("array", element=child.element or Node("VARIANT"))))
+                    walk(f"{dotted}.", raw, child, inner_wide)
+                elif not wide:
                     columns.append(_get(value, name, "string" if child.kind == "VOID" else child.kind).alias(label(dotted)))
 
         walk("", F.col("element"), node)
         if node.kind not in ("object",):
             columns.append(F.coalesce(F.try_variant_get("element", "$", "string"), F.to_json("element")).alias("value"))
-        tables[path] = level.select(key, "row_id", "parent_id", "position", "ancestors", "element", *columns)
+        place, n = path, 1
+        while place in tables:
+            n += 1
+            place = f"{path}~{n}"
+        tables[place] = level.select(key, "row_id", "parent_id", "position", "ancestors", "element", *columns)
         for name, value, child in arrays:
             inner = f"{path}.{name}".lstrip(".")
             below = F.array_append("ancestors", F.col("position")) if path else F.col("ancestors")
@@ -197,6 +247,8 @@ def artifact_tables(artifacts: DataFrame) -> dict[str, DataFrame]:
         level = levels.get(path)
         if level is None:
             level = empty
+        if kind != "table":
+            level = level.where(F.size("ancestors") == 1)
         element = F.col("element")
         raw = _get(element, label, "variant")
         mark = F.lower(F.try_variant_get("element", "$.sensitive", "string"))

@@ -59,3 +59,24 @@ def test_empty_table_and_schema_text(spark):
     assert infer_schema(empty, "v").kind in ("object", "VOID")
     tree = parse_schema("OBJECT<`a``b`: ARRAY<OBJECT<c: DECIMAL(3,1)>>, d: VARIANT>")
     assert tree.fields["a`b"].element.fields["c"].kind == "DECIMAL(3,1)" and tree.fields["d"].kind == "VARIANT"
+
+
+@pytest.mark.parametrize("odd", ['{"tables": "x"}', '{"tables": {}}', '{"tables": ["x"]}', '{"tables": {"columns": [{"name": "no"}]}}', '{"tables": [{"name": 7, "columns": "x", "relationships": [3]}]}', '{"bundled": true, "physical": "x"}', '{"bundled": true, "physical": [1]}'])
+def test_a_deviating_document_hides_nothing_of_the_others(spark, odd):
+    good = json.dumps({"tables": [{"name": "t", "columns": [{"name": "a", "sensitive": True}], "relationships": [{"from": "x", "to": "y"}]}]})
+    found = [f for f in nodes(spark, [good, odd, good])[0] if f[0] != 1]
+    assert found == sorted([(i, *r) for i in (0, 2) for r in (("table", 0, -1, "t", "none"), ("column", 0, 0, "a", "true"), ("relationship", 0, 0, "x", "none"))], key=str)
+
+
+def test_all_deviations_together_and_inside_one_array(spark):
+    mixed = json.dumps({"tables": ["x", {"name": "t", "columns": ["y", {"name": "a"}, 3]}, 4]})
+    found = nodes(spark, ['{"tables": "x"}', '{"tables": {}}', '{"tables": ["x"]}', mixed])[0]
+    assert [f for f in found if f[0] == 3 and f[4]] == [(3, "column", 1, 1, "a", "none"), (3, "table", 1, -1, "t", "none")]
+
+
+def test_arrays_inside_wide_objects_and_conflicting_paths(spark):
+    wide = {f"k{i}": i for i in range(250)} | {"list": [{"b": [1, 2]}]}
+    rows = [(1, json.dumps({"m": wide, "a": {"b": [{"c": 5}]}})), (2, json.dumps({"a": [{"b": [{"d": 6}]}]}))]
+    flat = flatten_documents(spark.createDataFrame(rows, "id long, p string").select("id", read_json(F.col("p")).alias("v")), "id", "v")
+    assert [r["value"] for r in flat["m.list.b"].orderBy("position").collect()] == ["1", "2"] and "f_m" in flat[""].columns and "f_m.k1" not in flat[""].columns
+    assert [(r["id"], r["f_d"]) for r in flat["a.b"].collect()] == [(2, 6)] and [(r["id"], r["f_c"]) for r in flat["a.b~2"].collect()] == [(1, 5)]
