@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from stratalith.errors import GuardError, SchemaError, ScopeError
 from stratalith.plans.guard import inspect
+from stratalith.session import cut_lineage
 
-MAX_LEVELS = 64
+# Levels after which the ids found so far are put together.
+GATHERED_LEVELS = 16
 
 
 def table_name(identifier: str) -> str:
@@ -238,8 +240,8 @@ def allowed_ids(policy: Policy, scope: Scope, read: Read) -> dict[str, DataFrame
     """Per reachable root, the distinct ``id`` values that the scope allows.
 
     ``ids`` and ``multi_root`` mean the ids as listed; ``subtree`` adds all descendants, level by level down the
-    hierarchy of roots (no more levels than there are roots; a root that refers to itself is followed until it closes, by
-    recursion). ``read`` gives a table by its id. Scale: root tables are small beside what hangs on
+    hierarchy of roots (no more levels than there are roots; a root that refers to itself, or roots that refer to each
+    other in a loop, are followed until they close). ``read`` gives a table by its id. Scale: root tables are small beside what hangs on
     them; each level is one semi-join on the foreign key.
     """
     out: dict[str, DataFrame] = {}
@@ -251,25 +253,63 @@ def allowed_ids(policy: Policy, scope: Scope, read: Read) -> dict[str, DataFrame
         out[root_id] = rows.where(column.isin([F.lit(i).try_cast(kind) for i in dict.fromkeys(ids)])).select(column.alias("id")).distinct()
     if scope.kind != "subtree":
         return out
+    for root_id in scope.ids:
+        if loop := _loop(policy, root_id):
+            out |= _closed(policy, loop, out, read)
     for _ in policy.roots:
         for root in policy.roots:
-            if root.parent in out and root.id not in out and root.parent != root.id:
+            if root.parent in out and root.id not in out:
                 rows = read(root.id).select(F.col(column_name(root.id_column)).alias("id"), F.col(column_name(root.foreign_key)).alias("_up"))
                 out[root.id] = rows.join(out[root.parent].withColumnRenamed("id", "_up"), "_up", "left_semi").select("id").distinct()
     return out
 
 
-def descendants(edges: DataFrame, start: DataFrame, levels: int = MAX_LEVELS) -> DataFrame:
-    """Ids reachable from ``start(id)`` over ``edges(parent, child)``, themselves included, by one recursive query; loops end."""
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("_tenant_edges")
-    start.select("id").distinct().createOrReplaceTempView("_tenant_start")
-    return spark.sql(f"""
-        WITH RECURSIVE down(id, level) MAX RECURSION LEVEL {levels + 2} AS (
-          SELECT id, 0 FROM _tenant_start
-          UNION ALL
-          SELECT e.child, d.level + 1 FROM down d JOIN _tenant_edges e ON e.parent = d.id WHERE d.level < {levels})
-        SELECT DISTINCT id FROM down""")
+def _loop(policy: Policy, root_id: str) -> list[str]:
+    """Roots on the loop of parents that a root lies on, itself first; none if it lies on no loop."""
+    above = {r.id: r.parent for r in policy.roots}
+    trail, at = [root_id], above.get(root_id)
+    while at and at not in trail:
+        trail.append(at)
+        at = above.get(at)
+    return trail if at == root_id else []
+
+
+def _closed(policy: Policy, loop: list[str], out: Mapping[str, DataFrame], read: Read) -> dict[str, DataFrame]:
+    """Ids of each root of a loop that can be reached from the ids that ``out`` has."""
+    kinds = {r: read(r).schema[column_name(policy.root(r).id_column)].dataType for r in loop}
+    mark = {r: f"{i}|" for i, r in enumerate(loop)}
+    key = lambda r, value: F.concat(F.lit(mark[r]), value.try_cast(kinds[r]).cast("string"))
+    edges = start = None
+    for root in map(policy.root, loop):
+        one = read(root.id).select(key(root.parent, F.col(column_name(root.foreign_key))).alias("parent"), key(root.id, F.col(column_name(root.id_column))).alias("child"))
+        edges = one if edges is None else edges.unionAll(one)
+        if root.id in out:
+            listed = out[root.id].select(key(root.id, F.col("id")).alias("id"))
+            start = listed if start is None else start.unionAll(listed)
+    reached = descendants(edges, start)
+    return {r: reached.where(F.col("id").startswith(mark[r])).select(F.substr("id", F.lit(len(mark[r]) + 1)).cast(kinds[r]).alias("id")) for r in loop}
+
+
+def descendants(edges: DataFrame, start: DataFrame, levels: int | None = None) -> DataFrame:
+    """Ids reachable from ``start(id)`` over ``edges(parent, child)``, themselves included, to the last level; loops end.
+
+    With ``levels``, what lies deeper is an error, never left out. Scale: one join and one anti-join a level, each on
+    what the level before found; the edges are read once.
+    """
+    edges = cut_lineage(edges.where("parent IS NOT NULL AND child IS NOT NULL").select("parent", "child").distinct())
+    level = cut_lineage(start.select("id").distinct())
+    reached, depth = level, 0
+    while True:
+        below = level.join(edges, level["id"] == edges["parent"]).select(F.col("child").alias("id")).distinct()
+        level = cut_lineage(below.join(reached, "id", "left_anti"))
+        if level.isEmpty():
+            return reached
+        depth += 1
+        if levels is not None and depth > levels:
+            raise ScopeError(f"the hierarchy is deeper than {levels} levels", "HIERARCHY_TOO_DEEP")
+        reached = reached.unionAll(level)
+        if depth % GATHERED_LEVELS == 0:
+            reached = cut_lineage(reached)
 
 
 def _condition(column: Column, operator: str, value: Any) -> Column:

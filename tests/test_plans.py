@@ -258,3 +258,40 @@ def test_notes_suggestions_settings(spark, tmp_path):
         load_settings(str(tmp_path), {"STRATALITH_ROW_CAP": "-1"})
     with pytest.raises(ConfigError):
         required("X", {"X": " "})
+
+
+def test_subtree_of_a_root_that_refers_to_itself(spark):
+    org, docs, team = _id("org"), _id("docs"), _id("team")
+    rows = [(0, None), (1, 0), (2, 1), (3, 2), (9, 9), (10, 9), (11, None), *[(i, i - 1) for i in range(101, 180)], (100, 3)]
+    tables = {
+        org: spark.createDataFrame(rows, "id int, parent_id long"), team: spark.createDataFrame([(7, 3), (8, 11)], "id int, org_id int"),
+        docs: spark.createDataFrame([(i, o) for i, (o, _) in enumerate(rows)], "id int, org_id int"),
+    }
+    policy = tenancy.parse_policy({
+        "schemaId": "s", "enforcement": "strict", "scopedTables": [{"id": docs, "scopeThrough": [{"root": org, "column": f"{docs}#org_id"}]}],
+        "roots": [{"id": team, "tenantIdColumn": f"{team}#id", "label": "Team", "parent": {"root": org, "foreignKey": f"{team}#org_id"}}, {"id": org, "tenantIdColumn": f"{org}#id", "label": "Org", "parent": {"root": org, "foreignKey": f"{org}#parent_id"}}],
+    })
+    below = {1, 2, 3, *range(100, 180)}
+    for listed, orgs, teams in (("1", below, {7}), ("9", {9, 10}, set()), ("0", {0, *below}, {7})):
+        scope = tenancy.parse_scope({"access": {"kind": "subtree", "tenantRoot": org, "rootIds": [listed]}}, policy)
+        found = tenancy.allowed_ids(policy, scope, tables.__getitem__)
+        assert sorted(r[0] for r in found[org].collect()) == sorted(orgs) and {r[0] for r in found[team].collect()} == teams
+        assert {r["org_id"] for r in tenancy.scoped_table(docs, policy, scope, found, tables.__getitem__).collect()} == orgs
+    scope = tenancy.parse_scope({"access": {"kind": "ids", "tenantRoot": org, "ids": ["1"]}}, policy)
+    assert [r[0] for r in tenancy.allowed_ids(policy, scope, tables.__getitem__)[org].collect()] == [1]
+
+
+def test_subtree_of_roots_in_a_loop(spark):
+    a, b = _id("a"), _id("b")
+    tables = {a: spark.createDataFrame([(1, None), (2, "x"), (3, "z")], "id long, up string"), b: spark.createDataFrame([("x", 1), ("y", 2), ("z", 9)], "id string, up int")}
+    policy = tenancy.parse_policy({"schemaId": "s", "enforcement": "warn", "roots": [{"id": i, "tenantIdColumn": f"{i}#id", "label": i[-1], "parent": {"root": o, "foreignKey": f"{i}#up"}} for i, o in ((a, b), (b, a))]})
+    found = tenancy.allowed_ids(policy, tenancy.parse_scope({"access": {"kind": "subtree", "tenantRoot": a, "rootIds": ["1"]}}, policy), tables.__getitem__)
+    assert sorted(r[0] for r in found[a].collect()) == [1, 2] and sorted(r[0] for r in found[b].collect()) == ["x", "y"]
+
+
+def test_descendants_have_no_last_level(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(90)], "parent int, child int")
+    start = spark.createDataFrame([(0,)], "id int")
+    assert tenancy.descendants(edges, start).count() == 91
+    with pytest.raises(ScopeError):
+        tenancy.descendants(edges, start, 5)
