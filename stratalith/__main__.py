@@ -29,6 +29,8 @@ def _parser() -> argparse.ArgumentParser:
         sub = commands.add_parser(name, help="build or search the vector index of a folder")
         sub.add_argument("folder")
         sub.add_argument("index")
+        if name == "index":
+            sub.add_argument("--relationships", action="store_true", help="index relationships, too")
         if name == "query":
             sub.add_argument("question")
             sub.add_argument("-k", type=int, default=8)
@@ -62,12 +64,13 @@ def _introspect(args: argparse.Namespace) -> int:
     return 0
 
 
-def _chunks(spark, folder: str):
+def _chunks(spark, folder: str, relationships: bool = False):
     from stratalith.operators.chunks import build_chunks
-    from stratalith.sources.artifact import frames, load
+    from stratalith.sources.artifact import frames, load, told_frames
 
-    found = frames(spark, load(folder))
-    return build_chunks(found["tables"], found["columns"], found["relationships"])
+    artifact = load(folder)
+    found, told = frames(spark, artifact), told_frames(spark, artifact)
+    return build_chunks(found["tables"], found["columns"], found["relationships"], told["concepts"], told["policy"], relationships=relationships)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -97,7 +100,7 @@ def main(argv: list[str] | None = None) -> int:
 
             store = VectorStore(get_session(), args.index)
             if args.command == "index":
-                store.write(reindex(_chunks(store.spark, args.folder), store.read(), hashed_embedder(), "hashed64"))
+                store.write(reindex(_chunks(store.spark, args.folder, args.relationships), store.read(), hashed_embedder(), "hashed64"))
                 print(store.count())
             else:
                 for row in retriever(store.read())(args.question, args.k).collect():

@@ -185,6 +185,8 @@ def load(path: str) -> Artifact:
 TABLES = "schema_id string, table_id string, schema string, name string, sensitive boolean, tracked boolean, description string, aliases array<string>, primary_entity string, common_query_language string, questions array<string>, business_context string, position int"
 COLUMNS = "schema_id string, table_id string, column_id string, name string, type string, nullable boolean, primary_key boolean, sensitive boolean, description string, aliases array<string>, enum array<string>, note string, position int"
 LINKS = "schema_id string, table_id string, from_id string, to_id string, position int"
+CONCEPTS = "schema_id string, id string, label string, synonyms array<string>, links array<string>, description string"
+POLICY = "schema_id string, section string, body string"
 
 
 def questions(body: str | None) -> list[str]:
@@ -227,6 +229,16 @@ def frames(spark: SparkSession, artifact: Artifact) -> dict[str, DataFrame]:
     return {"tables": spark.createDataFrame(tables, TABLES), "columns": spark.createDataFrame(columns, COLUMNS), "relationships": spark.createDataFrame(links, LINKS)}
 
 
+def told_frames(spark: SparkSession, artifact: Artifact) -> dict[str, DataFrame]:
+    """The artifact's ``concepts`` and the known sections of its ``policy`` for chunks; a policy without one is its whole body."""
+    schema_id = artifact.physical["schemaId"]
+    texts = lambda values: [str(v) for v in values]
+    concepts = [(schema_id, str(c["id"]), str(c["label"]), texts(c["synonyms"]), texts(c["links"]), None if c["description"] is None else str(c["description"])) for c in artifact.concepts]
+    sections = {name: text for name, text in read_sections(artifact.policy_body, POLICY_SECTIONS).items() if text}
+    policy = [(schema_id, name, text) for name, text in (sections or {"": artifact.policy_body.strip()}).items() if text]
+    return {"concepts": spark.createDataFrame(concepts, CONCEPTS), "policy": spark.createDataFrame(policy, POLICY)}
+
+
 def warnings(artifact: Artifact) -> list[tuple[str, str]]:
     """(kind, id): described but absent ids, and tables and columns without a description."""
     tables = {t["id"]: {c["id"] for c in t["columns"]} for t in artifact.physical["tables"]}

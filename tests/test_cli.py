@@ -5,6 +5,7 @@ import sqlite3
 
 from conftest import SMALL
 from stratalith.__main__ import main
+from stratalith.operators.index import VectorStore
 from stratalith.queries.star import star_artifact
 from stratalith.sources.artifact import to_json
 
@@ -25,3 +26,20 @@ def test_introspect_bundle_index_run(spark, tmp_path, capsys):
     capsys.readouterr()
     assert main(["run", str(star), SMALL, "select count(*) as n from orders"]) == 0 and json.loads(capsys.readouterr().out)["rows"] == [[1500]]
     assert main(["run", str(star), SMALL, "select * from secret"]) == 1
+
+
+def test_index_holds_concepts_policy_and_relationships(spark, tmp_path, capsys):
+    star, index = tmp_path / "star", str(tmp_path / "i")
+    star.mkdir()
+    (star / "schema.json").write_text(to_json(star_artifact().physical))
+    (star / "concepts.md").write_text("---\nconcepts:\n- id: concept:revenue\n  label: Revenue\n  synonyms: [turnover]\n  links: ['table:public.orders#o_totalprice']\n- id: concept:balance\n  label: Balance\n  description: Sum of c_acctbal.\n---\n")
+    policy = "---\nschemaId: star\n---\n# Policy\n\n## Scope rules\n\nOrders follow their customer.\n\n## Hierarchy\n\nRegions hold nations.\n"
+    told = lambda: {i for i in (r["id"] for r in VectorStore(spark, index).read().collect()) if not i.startswith("chunk:table:")}
+    (star / "tenant-policy.md").write_text(policy)
+    assert main(["index", str(star), index]) == 0
+    assert told() == {"chunk:concept:revenue", "chunk:tenant-policy#scope-rules", "chunk:tenant-policy#hierarchy"}
+    capsys.readouterr()
+    assert main(["query", str(star), index, "concept revenue turnover"]) == 0 and "chunk:concept:revenue" in capsys.readouterr().out
+    (star / "tenant-policy.md").write_text("---\nschemaId: star\n---\nOrders follow their customer.\n")
+    assert main(["index", str(star), index, "--relationships"]) == 0 and told() == {"chunk:concept:revenue", "chunk:tenant-policy#body"}
+    assert sum("->" in r["id"] for r in VectorStore(spark, index).read().collect()) == 5
