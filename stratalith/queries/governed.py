@@ -143,14 +143,17 @@ def catalog_glob_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def catalog_merge_marks(spark: SparkSession, folder: str) -> DataFrame:
-    """Last snapshot's columns with the marks of the one before, new columns flagged."""
-    rows = table(spark, folder, "column_snapshots").where("schema_id = 'tidewater-main'")
-    last = Window.partitionBy("snapshot_no", "id").orderBy(F.desc("delivered_at"), "sensitive")
-    rows = rows.withColumn("_n", F.row_number().over(last)).where("_n = 1")
-    top = rows.agg(F.max("snapshot_no").alias("top"))
-    rows = rows.join(F.broadcast(top), F.lit(True)).withColumnRenamed("id", "column_id")
-    new, old = rows.where("snapshot_no = top").select("column_id", "sensitive"), rows.where("snapshot_no = top - 1").select("column_id", "sensitive")
-    return merge_marks(new, old).groupBy("is_new").agg(F.count(F.lit(1)).alias("n_columns"), F.count_if("sensitive").alias("n_sensitive"))
+    """Every schema's last delivered snapshot with the marks of the one delivered before, new columns flagged.
+
+    Snapshots of a schema are those it has rows for; a schema with only one has new columns only.
+    """
+    rows = table(spark, folder, "column_snapshots").where("schema_id IS NOT NULL AND id IS NOT NULL AND snapshot_no IS NOT NULL")
+    back = F.row_number().over(Window.partitionBy("schema_id").orderBy(F.desc("snapshot_no")))
+    steps = rows.select("schema_id", "snapshot_no").distinct().withColumn("_back", back).where("_back <= 2")
+    last = Window.partitionBy("schema_id", "snapshot_no", "id").orderBy(F.desc("delivered_at"), "sensitive")
+    rows = rows.join(F.broadcast(steps), ["schema_id", "snapshot_no"]).withColumn("_n", F.row_number().over(last)).where("_n = 1").withColumnRenamed("id", "column_id")
+    new, old = (rows.where(F.col("_back") == n).select("schema_id", "column_id", "sensitive") for n in (1, 2))
+    return merge_marks(new, old, ["schema_id", "column_id"]).groupBy("is_new").agg(F.count(F.lit(1)).alias("n_columns"), F.count_if("sensitive").alias("n_sensitive"))
 
 
 def catalog_orphans(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
@@ -251,10 +251,10 @@ def warnings(artifact: Artifact) -> list[tuple[str, str]]:
     return out + [("missing_column_description", c) for c in sorted(every - noted)]
 
 
-def merge_marks(new: DataFrame, old: DataFrame) -> DataFrame:
-    """Columns of a fresh introspection with the marks kept from before and ``is_new``."""
-    kept = old.select("column_id", F.col("sensitive").alias("_kept")).dropDuplicates(["column_id"])
-    joined = new.join(kept, "column_id", "left")
+def merge_marks(new: DataFrame, old: DataFrame, keys: Sequence[str] = ("column_id",)) -> DataFrame:
+    """Columns of a fresh introspection with the marks kept from before and ``is_new`` (J12); ``keys`` tell columns apart."""
+    kept = old.select(*keys, F.col("sensitive").alias("_kept")).dropDuplicates(list(keys))
+    joined = new.join(kept, list(keys), "left")
     return joined.select(*[c for c in new.columns if c != "sensitive"], F.coalesce("_kept", "sensitive", F.lit(False)).alias("sensitive"), F.col("_kept").isNull().alias("is_new"))
 
 
