@@ -87,8 +87,9 @@ def mock_embed_buckets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def token_hashes(spark: SparkSession, folder: str) -> DataFrame:
-    """FNV-1a of every distinct column name."""
-    return table(spark, folder, "column_snapshots").where("name IS NOT NULL").select("name").distinct().where(F.col("name").rlike("^[a-z0-9_]+$")).select("name", fnv1a(F.col("name")).alias("hash"))
+    """FNV-1a of every distinct token of every distinct column name, as the embedder cuts them; null for a name without tokens."""
+    names = table(spark, folder, "column_snapshots").where("name IS NOT NULL").select("name").distinct()
+    return names.select("name", F.explode_outer(F.array_distinct(tokens(F.col("name")))).alias("token")).select("name", fnv1a(F.col("token")).alias("hash"))
 
 
 def _query_vector(spark: SparkSession, folder: str):

@@ -7,6 +7,7 @@ import duckdb
 
 from conftest import SMALL
 from stratalith.queries.governed import catalog_merge_marks
+from stratalith.queries.retrieval import token_hashes
 
 SNAPSHOTS = "schema_id string, snapshot_no int, id string, name string, sensitive boolean, delivered_at timestamp"
 
@@ -38,3 +39,18 @@ def test_marks_equal_sql_over_the_whole_table(spark):
         SELECT o.sensitive IS NULL AS is_new, count(*), count(*) FILTER (coalesce(o.sensitive, c.sensitive, false))
         FROM (FROM placed WHERE back = 1) c LEFT JOIN (FROM placed WHERE back = 2) o ON o.id = c.id AND o.schema_id = c.schema_id GROUP BY 1""")
     assert Counter(map(tuple, catalog_merge_marks(spark, SMALL).collect())) == wanted
+
+
+def fnv(token):
+    out = 2166136261
+    for byte in token.encode():
+        out = (out ^ byte) * 16777619 & 0xFFFFFFFF
+    return out
+
+
+def test_hashes_of_every_name(spark, tmp_path):
+    names = ("order_id", "Order Id", "net-price", "Größe", "a a", "日本", None)
+    found = token_hashes(spark, snapshots(spark, tmp_path, [("a", 1, f"{i}", n, None, 0) for i, n in enumerate(names)]))
+    wanted = [("order_id", "order_id"), ("Order Id", "order"), ("Order Id", "id"), ("net-price", "net"), ("net-price", "price"), ("Größe", "gr"), ("Größe", "e"), ("a a", "a")]
+    assert Counter(map(tuple, found.collect())) == Counter([(n, fnv(t)) for n, t in wanted] + [("日本", None)])
+    assert {(r["name"],) for r in token_hashes(spark, SMALL).collect()} == in_duck("SELECT DISTINCT name FROM column_snapshots WHERE name IS NOT NULL").keys()
