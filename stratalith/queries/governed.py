@@ -221,8 +221,9 @@ def param_list_bind(spark: SparkSession, folder: str) -> DataFrame:
 
 def sensitive_refs(spark: SparkSession, folder: str) -> DataFrame:
     """Chunk texts that mention a column which their schema's last row for it marks sensitive, by schema."""
-    rows = table(spark, folder, "column_snapshots").where("schema_id IS NOT NULL AND sensitive").select("schema_id", "name").distinct()
-    names = rows.groupBy("schema_id").agg(F.collect_set("name").alias("names"))
+    rows = table(spark, folder, "column_snapshots").where("schema_id IS NOT NULL AND id IS NOT NULL")
+    last = rows.groupBy("schema_id", "id").agg(F.max_by(F.struct("sensitive", "name"), F.struct("snapshot_no", "delivered_at", "sensitive", "name")).alias("last"))
+    names = last.where("last.sensitive").select("schema_id", "last.name").groupBy("schema_id").agg(F.collect_set("name").alias("names"))
     words = F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit("[A-Za-z0-9_]+"), 0))
     texts = table(spark, folder, "chunk_texts").where("schema_id IS NOT NULL AND text IS NOT NULL").dropDuplicates(["id"])
     return texts.join(names, "schema_id").where(F.arrays_overlap(words, F.col("names"))).groupBy("schema_id").agg(F.count(F.lit(1)).alias("n_texts"))

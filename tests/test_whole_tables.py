@@ -6,7 +6,7 @@ from collections import Counter
 import duckdb
 
 from conftest import SMALL
-from stratalith.queries.governed import catalog_merge_marks
+from stratalith.queries.governed import catalog_merge_marks, sensitive_refs
 from stratalith.queries.retrieval import token_hashes
 
 SNAPSHOTS = "schema_id string, snapshot_no int, id string, name string, sensitive boolean, delivered_at timestamp"
@@ -54,3 +54,23 @@ def test_hashes_of_every_name(spark, tmp_path):
     wanted = [("order_id", "order_id"), ("Order Id", "order"), ("Order Id", "id"), ("net-price", "net"), ("net-price", "price"), ("Größe", "gr"), ("Größe", "e"), ("a a", "a")]
     assert Counter(map(tuple, found.collect())) == Counter([(n, fnv(t)) for n, t in wanted] + [("日本", None)])
     assert {(r["name"],) for r in token_hashes(spark, SMALL).collect()} == in_duck("SELECT DISTINCT name FROM column_snapshots WHERE name IS NOT NULL").keys()
+
+
+def test_a_mark_taken_back_is_no_mark(spark, tmp_path):
+    rows = [
+        ("a", 1, "x", "pay", True, 0), ("a", 2, "x", "pay", False, 1), ("b", 1, "x", "pay", True, 0), ("b", 1, "x", "pay", False, 5), ("c", 2, "x", "pay", True, 0), ("c", 1, "x", "pay", False, 9),
+        ("d", 1, "x", "pay", True, 0), ("d", 2, "x", "pay", None, 1), ("e", 1, "x", "wage", True, 0), ("e", 2, "x", "pay", True, 1), ("f", 1, "x", "pay", False, 0), ("f", 1, "y", "pay", True, 0),
+    ]
+    folder = snapshots(spark, tmp_path, rows)
+    texts = [(f"{s}{w}", s, f"about {w}.") for s in "abcdef" for w in ("pay", "wage")]
+    spark.createDataFrame(texts, "id string, schema_id string, text string").write.parquet(f"{folder}/chunk_texts.parquet")
+    assert sorted(map(tuple, sensitive_refs(spark, folder).collect())) == [("c", 1), ("e", 1), ("f", 1)]
+
+
+def test_sensitive_mentions_equal_sql_with_the_last_row(spark):
+    wanted = in_duck("""WITH last AS (SELECT schema_id, name, sensitive FROM column_snapshots WHERE schema_id IS NOT NULL
+          QUALIFY row_number() OVER (PARTITION BY schema_id, id ORDER BY snapshot_no DESC, delivered_at DESC, sensitive DESC NULLS LAST) = 1),
+        names AS (SELECT schema_id, list(DISTINCT name) AS names FROM last WHERE sensitive AND name IS NOT NULL GROUP BY 1),
+        texts AS (SELECT DISTINCT id, schema_id, text FROM chunk_texts WHERE schema_id IS NOT NULL AND text IS NOT NULL)
+        SELECT t.schema_id, count(*) FROM texts t JOIN names n USING (schema_id) WHERE list_has_any(regexp_extract_all(t.text, '[A-Za-z0-9_]+'), n.names) GROUP BY 1""")
+    assert Counter(map(tuple, sensitive_refs(spark, SMALL).collect())) == wanted
