@@ -182,7 +182,7 @@ _RESULT = pa.schema([
     ("vector", pa.binary()), ("sim", pa.float64()), ("near", pa.list_(pa.struct([("neg", pa.float64()), ("id", pa.int64())]))),
 ])
 _RESULT_DDL = "kind int, group string, shard int, salt int, id long, copy long, vector binary, sim double, near array<struct<neg: double, id: long>>"
-RESULT, VISIT, COPIES, EXTRA, SPLIT = 0, 1, 2, 3, 4
+RESULT, VISIT, EXTRA, SPLIT = 0, 1, 2, 3
 SALTS = 64
 PUSHED_GROUPS = 1000
 
@@ -309,14 +309,6 @@ class Shard:
             yield np.arange(lo, lo + counts[number]), self.extra_ids[self.extra_of == number]
 
 
-def _first_copies(rows: np.ndarray, shard: Shard) -> Found:
-    """The k + 1 smallest ids of one vector's copies, at the similarity that a vector has to itself."""
-    found = Found(1, len(rows))
-    found.sims[:] = np.round(np.einsum("j,j->", shard.points[rows[0]], shard.points[rows[0]]), DIGITS)
-    found.ids[0] = shard.ids[rows]
-    return found
-
-
 def _search_own(settings: Settings, routes: dict[str, Tree], salts: dict[str, int]):
     """Each shard against itself; of split groups also the visits to other shards that the bound doesn't rule out."""
 
@@ -325,13 +317,15 @@ def _search_own(settings: Settings, routes: dict[str, Tree], salts: dict[str, in
         ids = np.concatenate([p["id"].to_numpy() for p in parts])
         shard = Shard(ids, np.concatenate([_decode(p["vector"], settings.dimension) for p in parts]), settings)
         route = routes.get(group)
+        copy, single = np.zeros(len(shard.ids), np.int64), np.ones(len(shard.ids), bool)
         for rows, extra in shard.copies():
-            copy = hash_bytes(shard.raw[rows[0]].tobytes())
-            yield _rows(COPIES, group, number, shard.ids[rows[:1]], copy=pa.array([copy]), near=_near(_first_copies(rows, shard)))
+            copy[rows[0]], single[rows[0]] = hash_bytes(shard.raw[rows[0]].tobytes()), False
             if len(extra):
-                yield _rows(EXTRA, group, number, extra, copy=pa.array(np.full(len(extra), copy)))
+                yield _rows(EXTRA, group, number, extra, copy=pa.array(np.full(len(extra), copy[rows[0]])))
+        itself = np.round(np.einsum("ij,ij->i", shard.points, shard.points), DIGITS)
         for rows, found in shard.own(settings.factor):
-            yield _rows(RESULT if route is None else SPLIT, group, number, shard.ids[rows], near=_near(found))
+            first = {"copy": pa.array(copy[rows], mask=single[rows]), "sim": pa.array(itself[rows], mask=single[rows])}
+            yield _rows(RESULT if route is None else SPLIT, group, number, shard.ids[rows], near=_near(found), **first)
             if route is not None:
                 bounds = route.bounds(shard.points[rows]) * settings.factor <= reach(found.kth())[:, None]
                 bounds[:, number] = False
@@ -445,21 +439,28 @@ def nearest(vectors: DataFrame, group: str, key: str, vector: str, settings: Set
     at_home = cut_lineage(shards.mapInArrow(lambda it: _search_own(settings, *shared.value)(it), _RESULT_DDL))
     results = at_home.where(F.col("kind") == RESULT).select("group", "id", "near")
     further = at_home.where(F.col("kind") == EXTRA).select("group", "copy", "id").distinct()
-    firsts = at_home.where(F.col("kind") == COPIES).select("group", "copy", "near")
-    copied = further.join(firsts, ["group", "copy"]).where("NOT exists(near, x -> x.id = id)").select("group", "id", F.slice("near", 1, settings.k).alias("near"))
+    # A surplus copy's neighbours are those of the first copy and that one itself.
+    with_itself = F.slice(F.array_sort(F.array_append("near", F.struct((-F.col("sim")).alias("neg"), "id"))), 1, settings.k).alias("near")
+
+    def copied(firsts: DataFrame) -> DataFrame:
+        lists = firsts.where("copy IS NOT NULL").select("group", "copy", with_itself)
+        return further.join(lists, ["group", "copy"]).where("NOT exists(near, x -> x.id = id)").select("group", "id", "near")
+
+    at_once = results.unionAll(copied(at_home.where(F.col("kind") == RESULT)))
     if not routes:
-        return _named(results.unionAll(copied), group, key)
+        return _named(at_once, group, key)
     few = source.where(F.col("group").isin(list(routes))) if len(routes) <= PUSHED_GROUPS else source
     columns = ("group", "shard", "salt", "kind", "id", "vector", "sim")
     hosts = few.mapInArrow(lambda it: _hosts(settings, *shared.value)(it), _RESULT_DDL).select(*columns)
     visits = at_home.where(F.col("kind") == VISIT).select(*columns)
     away = (
         hosts.unionAll(visits).repartition("group", "shard", "salt").sortWithinPartitions("group", "shard", "salt", "kind", "id")
-        .mapInArrow(lambda it: _search_visits(settings)(it), _RESULT_DDL).select("group", "id", "near")
+        .mapInArrow(lambda it: _search_visits(settings)(it), _RESULT_DDL).select("group", "id", "copy", "sim", "near")
     )
     best = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, settings.k).alias("near")
-    merged = at_home.where(F.col("kind") == SPLIT).select("group", "id", "near").unionAll(away).groupBy("group", "id").agg(best)
-    return _named(results.unionAll(merged).unionAll(copied), group, key)
+    halves = at_home.where(F.col("kind") == SPLIT).select("group", "id", "copy", "sim", "near").unionAll(away)
+    merged = halves.groupBy("group", "id").agg(F.max("copy").alias("copy"), F.max("sim").alias("sim"), best)
+    return _named(at_once.unionAll(merged.select("group", "id", "near")).unionAll(copied(merged)), group, key)
 
 
 def _named(df: DataFrame, group: str, key: str) -> DataFrame:

@@ -86,3 +86,14 @@ def test_small_shards(n):
     empty = Found(2, 3)
     empty.offer(np.array([0, 0]), np.array([0.5, 0.5]), np.array([9, 4]))
     assert empty.ids[0].tolist()[:2] == [4, 9] and np.isneginf(empty.sims[1]).all()
+
+
+@pytest.mark.parametrize("shard_rows", [10_000, 40])
+def test_surplus_copies_have_neighbours_that_are_no_copies(spark, shard_rows):
+    rng = np.random.default_rng(7)
+    base = [float(x) for x in rng.normal(size=64).astype(np.float32)]
+    close = [float(np.nextafter(np.float32(base[0]), np.float32(9))), *base[1:]]
+    rows = [("a", i, base) for i in range(10, 110)] + [("a", 1, [2 * x for x in base]), ("a", 2, close), ("a", 500, [4 * x for x in base])]
+    rows += [("a", 1000 + i, [float(x) for x in rng.normal(size=64).astype(np.float32)]) for i in range(60)]
+    got = found(spark, rows, shard_rows=shard_rows, factor=1.0)
+    assert got == brute(rows) and 1 in got["a", 100]
