@@ -55,7 +55,7 @@ def mentions(text: Column, name: str) -> Column:
 def bullets(body: Column) -> Column:
     """Items of ``- `` and ``* `` lines, in order (X-14)."""
     lines = F.transform(F.split(body, "\n"), lambda line: F.trim(F.regexp_replace(line, r"^\s+|\s+$", "")))
-    return F.transform(F.filter(lines, lambda line: line.rlike(r"^[-*] ")), lambda line: F.trim(F.substring(line, 3, 1_000_000)))
+    return F.transform(F.filter(lines, lambda line: line.rlike(r"^[-*] ")), lambda line: F.trim(F.substr(line, F.lit(3))))
 
 
 def comma_list(value: Column) -> Column:

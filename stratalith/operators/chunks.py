@@ -28,7 +28,7 @@ def packed_paragraphs(body: Column, most: int = MAX_CHARS) -> Column:
             F.struct(acc["done"].alias("done"), F.concat(acc["open"], F.lit("\n\n"), x["open"]).alias("open"), (acc["n"] + x["n"]).alias("n"))
         )
 
-    folded = F.reduce(F.slice(cells, 2, 1_000_000), cells[0], step, lambda acc: F.array_append(acc["done"], acc["open"]))
+    folded = F.reduce(F.slice(cells, F.lit(2), F.greatest(F.size(cells) - 1, F.lit(0))), cells[0], step, lambda acc: F.array_append(acc["done"], acc["open"]))
     trimmed = F.transform(folded, lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
     return F.when(F.length(text) <= most, F.array(text)).otherwise(trimmed)
 

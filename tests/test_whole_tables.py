@@ -4,8 +4,11 @@ import datetime as dt
 from collections import Counter
 
 import duckdb
+from pyspark.sql import functions as F
 
 from conftest import SMALL
+from stratalith.functions.text import bullets
+from stratalith.operators.chunks import packed_paragraphs
 from stratalith.queries.governed import catalog_merge_marks, sensitive_refs
 from stratalith.queries.retrieval import token_hashes
 
@@ -74,3 +77,10 @@ def test_sensitive_mentions_equal_sql_with_the_last_row(spark):
         texts AS (SELECT DISTINCT id, schema_id, text FROM chunk_texts WHERE schema_id IS NOT NULL AND text IS NOT NULL)
         SELECT t.schema_id, count(*) FROM texts t JOIN names n USING (schema_id) WHERE list_has_any(regexp_extract_all(t.text, '[A-Za-z0-9_]+'), n.names) GROUP BY 1""")
     assert Counter(map(tuple, sensitive_refs(spark, SMALL).collect())) == wanted
+
+
+def test_giant_texts_have_no_last_paragraph_or_character(spark):
+    """A fold over a million paragraphs takes over a minute here, so of it only the expression is looked at."""
+    row = spark.range(1).select(F.concat(F.lit("- "), F.repeat(F.lit("b"), 1_000_001), F.lit("c")).alias("b"), F.concat(F.repeat(F.lit("a\n\n"), 900), F.lit("end")).alias("t"))
+    assert row.select(F.length(bullets(F.col("b"))[0])).first()[0] == 1_000_002
+    assert "1000000" not in str(packed_paragraphs(F.col("t"))) and row.select(F.length(F.array_join(packed_paragraphs(F.col("t")), "\n\n"))).first()[0] == 2703
