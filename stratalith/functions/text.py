@@ -29,10 +29,12 @@ def content_hash(value: Column) -> Column:
 
 
 def fnv1a(token: Column) -> Column:
-    """32-bit FNV-1a of an ASCII token (X-10)."""
-    codes = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), F.ascii)
+    """32-bit FNV-1a over the UTF-16 units of a token (X-10)."""
+    narrow = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), F.ascii)
+    wide = F.transform(F.regexp_extract_all(F.hex(F.encode(token, "UTF-16BE")), F.lit("[0-9A-F]{4}"), 0), lambda h: F.conv(h, 16, 10).cast("int"))
+    units = F.when(F.octet_length(token) == F.length(token), narrow).otherwise(wide)
     step = lambda h, c: (h.bitwiseXOR(c.cast("long")) * F.lit(FNV_PRIME).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
-    return F.aggregate(codes, F.lit(FNV_OFFSET).cast("long"), step)
+    return F.aggregate(units, F.lit(FNV_OFFSET).cast("long"), step)
 
 
 def plain_sql(value: Column) -> Column:

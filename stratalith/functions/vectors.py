@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,9 +35,14 @@ def token_buckets(text: Column, dimensions: int) -> Column:
     return F.transform(tokens(text), lambda t: F.pmod(fnv1a(t), F.lit(dimensions)).cast("int"))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it: a lambda's variable holds it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def hashed_embedding(text: Column, dimensions: int = 64) -> Column:
-    """Counts per bucket at length one (A12, E9); all zero for a text without tokens."""
-    buckets = token_buckets(text, dimensions)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
-    length = norm(counts)
-    return F.transform(counts, lambda x: F.when(length > 0, x / length).otherwise(0.0).cast("float"))
+    """Counts per bucket at length one (A12, E9); all zero for a null text and one without tokens."""
+    places = F.sequence(F.lit(0), F.lit(dimensions - 1))
+    counted = lambda b: F.transform(places, lambda i: (F.size(b) - F.size(F.array_remove(b, i))).cast("double"))
+    scaled = lambda c: _once(norm(c), lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(0.0).cast("float")))
+    return _once(_once(token_buckets(F.coalesce(text, F.lit("")), dimensions), counted), scaled)

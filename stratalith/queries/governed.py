@@ -112,7 +112,7 @@ def catalog_column_list(spark: SparkSession, folder: str) -> DataFrame:
     return catalog_columns(catalog, selected_tables(catalog)).select("table_id", "column_id", "ordinal_position")
 
 
-_FKS = [("store_stock", "fk_product", 2, "sku", "products", "sku", "c"), ("store_stock", "fk_product", 1, "tenant_id", "products", "tenant_id", "c"), ("store_stock", "fk_store", 1, "tenant_id", "stores", "tenant_id", "a"), ("store_stock", "fk_store", 2, "store_code", "stores", "code", "a")]
+_FKS = [("berths", "fk_vessel", 2, "hull", "vessels", "hull_no", "c"), ("berths", "fk_vessel", 1, "flag", "vessels", "flag", "c"), ("berths", "fk_quay", 1, "port", "quays", "port", "a"), ("berths", "fk_quay", 2, "quay", "quays", "quay_no", "a")]
 
 
 def catalog_fk_fold(spark: SparkSession, folder: str) -> DataFrame:
@@ -131,7 +131,7 @@ def catalog_key_fold(spark: SparkSession, folder: str) -> DataFrame:
 
 def catalog_enum_fold(spark: SparkSession, folder: str) -> DataFrame:
     """Values in declared, not alphabetical, order."""
-    values = [("public", "ticket_status", i, v) for i, v in enumerate(("open", "in_progress", "blocked", "resolved", "closed"))]
+    values = [("public", "tide", i, v) for i, v in enumerate(("slack", "flood", "crest", "ebb"))]
     rows = spark.createDataFrame(values[::-1], "schema_name string, enum_name string, enum_position int, enum_value string")
     return folded_enums(rows).select("enum_name", F.array_join("values", ",").alias("values"))
 
@@ -223,10 +223,10 @@ def sensitive_refs(spark: SparkSession, folder: str) -> DataFrame:
     """Chunk texts that mention a column which their schema's last row for it marks sensitive, by schema."""
     rows = table(spark, folder, "column_snapshots").where("schema_id IS NOT NULL AND id IS NOT NULL")
     last = rows.groupBy("schema_id", "id").agg(F.max_by(F.struct("sensitive", "name"), F.struct("snapshot_no", "delivered_at", "sensitive", "name")).alias("last"))
-    names = last.where("last.sensitive").select("schema_id", "last.name").groupBy("schema_id").agg(F.collect_set("name").alias("names"))
+    names = last.where("last.sensitive AND last.name IS NOT NULL").select("schema_id", F.col("last.name").alias("word")).distinct()
     words = F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit("[A-Za-z0-9_]+"), 0))
-    texts = table(spark, folder, "chunk_texts").where("schema_id IS NOT NULL AND text IS NOT NULL").dropDuplicates(["id"])
-    return texts.join(names, "schema_id").where(F.arrays_overlap(words, F.col("names"))).groupBy("schema_id").agg(F.count(F.lit(1)).alias("n_texts"))
+    texts = table(spark, folder, "chunk_texts").where("id IS NOT NULL AND schema_id IS NOT NULL AND text IS NOT NULL").select("schema_id", "id", F.explode(words).alias("word"))
+    return texts.join(names, ["schema_id", "word"], "left_semi").select("schema_id", "id").distinct().groupBy("schema_id").agg(F.count(F.lit(1)).alias("n_texts"))
 
 
 _ALL = (
@@ -274,18 +274,18 @@ def oracle_sql() -> dict[str, str]:
             ('orphaned_column_id', 'table:public.orders#o_planet'), ('orphaned_global_table_id', 'table:public.currency')) t(kind, id)""",
         "catalog_column_list": f"""SELECT 'table:public.' || table_name AS table_id, 'table:public.' || table_name || '#' || column_name AS column_id, ordinal_position
             FROM information_schema.columns WHERE table_name IN ({_NAMES})""",
-        "catalog_fk_fold": """SELECT * FROM (VALUES ('fk_product', 'tenant_id,sku', 'tenant_id,sku', 'cascade', NULL), ('fk_store', 'tenant_id,store_code', 'tenant_id,code', 'no action', NULL))
+        "catalog_fk_fold": """SELECT * FROM (VALUES ('fk_vessel', 'flag,hull', 'flag,hull_no', 'cascade', NULL), ('fk_quay', 'port,quay', 'port,quay_no', 'no action', NULL))
             t(constraint_name, columns, referenced_columns, on_delete, on_update)""",
         "catalog_key_fold": """SELECT * FROM (VALUES ('table:public.region', 'r_regionkey'), ('table:public.nation', 'n_nationkey'), ('table:public.customer', 'c_custkey'), ('table:public.supplier', 's_suppkey'),
             ('table:public.part', 'p_partkey'), ('table:public.orders', 'o_orderkey'), ('table:public.lineitem', 'l_orderkey,l_linenumber'), ('table:public.events', 'event_id')) t(table_name, columns)""",
-        "catalog_enum_fold": "SELECT 'ticket_status' AS enum_name, 'open,in_progress,blocked,resolved,closed' AS values",
+        "catalog_enum_fold": "SELECT 'tide' AS enum_name, 'slack,flood,crest,ebb' AS values",
         "catalog_glob_filter": r"""SELECT DISTINCT regexp_extract(id, '^table:[^.]+\.([^#]+)', 1) AS table_name FROM column_snapshots
             WHERE table_name LIKE 'recipe\_%' ESCAPE '\' OR table_name LIKE '%\_item\_1_' ESCAPE '\'""",
-        "catalog_merge_marks": """WITH last AS (SELECT snapshot_no, id, sensitive FROM column_snapshots WHERE schema_id = 'tidewater-main'
-              QUALIFY row_number() OVER (PARTITION BY snapshot_no, id ORDER BY delivered_at DESC, sensitive NULLS FIRST) = 1),
-            top AS (SELECT max(snapshot_no) AS n FROM last)
-            SELECT o.id IS NULL OR o.sensitive IS NULL AS is_new, count(*) AS n_columns, count(*) FILTER (coalesce(o.sensitive, c.sensitive, false)) AS n_sensitive
-            FROM (SELECT * FROM last, top WHERE snapshot_no = n) c LEFT JOIN (SELECT * FROM last, top WHERE snapshot_no = n - 1) o ON o.id = c.id GROUP BY 1""",
+        "catalog_merge_marks": """WITH last AS (SELECT schema_id, snapshot_no, id, sensitive FROM column_snapshots WHERE schema_id IS NOT NULL AND id IS NOT NULL AND snapshot_no IS NOT NULL
+              QUALIFY row_number() OVER (PARTITION BY schema_id, snapshot_no, id ORDER BY delivered_at DESC, sensitive NULLS FIRST) = 1),
+            placed AS (SELECT *, dense_rank() OVER (PARTITION BY schema_id ORDER BY snapshot_no DESC) AS back FROM last)
+            SELECT o.sensitive IS NULL AS is_new, count(*) AS n_columns, count(*) FILTER (coalesce(o.sensitive, c.sensitive, false)) AS n_sensitive
+            FROM (FROM placed WHERE back = 1) c LEFT JOIN (FROM placed WHERE back = 2) o ON o.id = c.id AND o.schema_id = c.schema_id GROUP BY 1""",
         "catalog_orphans": """WITH refs AS (SELECT DISTINCT schema_id, ref FROM (SELECT schema_id, unnest(refs) AS ref FROM chunk_texts WHERE schema_id IS NOT NULL) WHERE ref IS NOT NULL),
             known AS (SELECT DISTINCT schema_id, id AS ref FROM column_snapshots UNION SELECT DISTINCT schema_id, split_part(id, '#', 1) FROM column_snapshots)
             SELECT schema_id, count(*) AS n_orphans FROM refs r WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.schema_id = r.schema_id AND k.ref = r.ref) GROUP BY 1""",
@@ -298,7 +298,9 @@ def oracle_sql() -> dict[str, str]:
         "placeholder_scan": "SELECT * FROM (VALUES (0, 'b'), (1, 'a'), (2, 'b_list')) t(place, name)",
         "param_scalar_bind": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 100000 GROUP BY 1",
         "param_list_bind": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY 1",
-        "sensitive_refs": """WITH names AS (SELECT schema_id, list(DISTINCT name) AS names FROM column_snapshots WHERE schema_id IS NOT NULL AND sensitive AND name IS NOT NULL GROUP BY 1),
+        "sensitive_refs": """WITH last AS (SELECT schema_id, name, sensitive FROM column_snapshots WHERE schema_id IS NOT NULL AND id IS NOT NULL
+              QUALIFY row_number() OVER (PARTITION BY schema_id, id ORDER BY snapshot_no DESC, delivered_at DESC, sensitive DESC NULLS LAST) = 1),
+            names AS (SELECT schema_id, list(DISTINCT name) AS names FROM last WHERE sensitive AND name IS NOT NULL GROUP BY 1),
             texts AS (SELECT DISTINCT id, schema_id, text FROM chunk_texts WHERE schema_id IS NOT NULL AND text IS NOT NULL)
             SELECT t.schema_id, count(*) AS n_texts FROM texts t JOIN names n ON n.schema_id = t.schema_id
             WHERE list_has_any(regexp_extract_all(t.text, '[A-Za-z0-9_]+'), n.names) GROUP BY 1""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratalith.functions.text import bullets, candidates, column_of, comma_list, content_hash, dash_slug, fenced_block, fnv1a, is_date, plain_sql, table_of, underscore_slug
@@ -114,8 +114,8 @@ def vector_topk_batch(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings")
     asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
     scored = rows.join(asked, "label").where("vec_id <> query_id").select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, 3)
-    return scored.groupBy("query_id").agg(best.alias("b")).select("query_id", F.posexplode("b").alias("place", "x")).select("query_id", "place", F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return scored.withColumn("place", place - 1).where("place < 3").select("query_id", "place", "vec_id", "score")
 
 
 def vector_norms(spark: SparkSession, folder: str) -> DataFrame:
@@ -123,9 +123,15 @@ def vector_norms(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select("vec_id", F.round(norm(F.col("embedding")), 6).alias("length"))
 
 
+_REFS = (
+    "table:public.auction_log_195", "table:public.batch_81", "table:public.courier_354", "table:public.auction_alert_324", "table:public.greenhouse_quota_223", "table:public.greenhouse_quota_223#is_void",
+    "table:public.warranty_285#height_mm",
+)
+
+
 def chunk_filter(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks of one schema and two types that refer to any of two tables."""
-    wanted = entry_filter("tidewater-main", ["table", "column"], ["table:public.recipe_log_1", "table:public.recipe_detail_2"])
+    """Chunks of one schema and two types that refer to any of the listed tables and columns."""
+    wanted = entry_filter("tidewater-main", ["table", "column"], list(_REFS))
     return table(spark, folder, "chunk_texts").where(wanted).select("id", "type").distinct()
 
 
@@ -210,14 +216,15 @@ def oracle_sql() -> dict[str, str]:
         "mock_embed_buckets": """WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS token FROM documents), d AS (SELECT token, count(*) AS n FROM t GROUP BY 1),
             h AS (SELECT n, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(token, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295) AS hash FROM d)
             SELECT (hash % 64)::INT AS bucket, sum(n)::BIGINT AS n_tokens FROM h GROUP BY 1""",
-        "token_hashes": """SELECT name, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(name, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295) AS hash
-            FROM (SELECT DISTINCT name FROM column_snapshots WHERE regexp_full_match(name, '[a-z0-9_]+'))""",
+        "token_hashes": """WITH n AS (SELECT DISTINCT name FROM column_snapshots WHERE name IS NOT NULL), t AS (SELECT name, unnest(list_distinct(regexp_extract_all(lower(name), '[a-z0-9_]+'))) AS token FROM n)
+            SELECT name, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(token, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295) AS hash
+            FROM n LEFT JOIN t USING (name)""",
         "vector_topk": f"WITH q AS (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) SELECT e.vec_id, {_COS} AS score FROM embeddings e, q ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, 1 LIMIT 10",
         "vector_topk_filtered": f"WITH q AS (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) SELECT e.vec_id, {_COS} AS score FROM embeddings e, q WHERE label = 3 ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, 1 LIMIT 10",
         "vector_topk_batch": f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, {_COS} AS score FROM embeddings e JOIN embeddings q ON e.label = q.label AND q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id),
             r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s) SELECT query_id, (n - 1)::INT AS place, vec_id, score FROM r WHERE n <= 3""",
         "vector_norms": "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS length FROM embeddings",
-        "chunk_filter": "SELECT DISTINCT id, type FROM chunk_texts WHERE schema_id = 'tidewater-main' AND type IN ('table', 'column') AND list_has_any(refs, ['table:public.recipe_log_1', 'table:public.recipe_detail_2'])",
+        "chunk_filter": f"SELECT DISTINCT id, type FROM chunk_texts WHERE schema_id = 'tidewater-main' AND type IN ('table', 'column') AND list_has_any(refs, {list(_REFS)})",
         "retrieval_tables": "SELECT count(DISTINCT split_part(ref, '#', 1)) AS n_tables FROM (SELECT unnest(refs) AS ref FROM chunk_texts) WHERE ref LIKE 'table:%'",
         "text_functions": """SELECT DISTINCT id, split_part(id, '#', 1) AS table_id, CASE WHEN contains(id, '#') THEN substr(id, instr(id, '#') + 1) ELSE '' END AS column_name,
             regexp_replace(lower(id), '[^a-z0-9]+', '_', 'g') AS slug, regexp_replace(lower(id), '[^a-z0-9]+', '-', 'g') AS dashed FROM column_snapshots WHERE id IS NOT NULL""",
