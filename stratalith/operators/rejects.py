@@ -50,16 +50,12 @@ def physical_lines(text: str) -> list[str]:
 def split_record(raw: str) -> list[str]:
     """Fields of one record; ``csv.Error`` if its quoting is broken."""
     raw = raw.removeprefix("\ufeff").rstrip("\r\n")
-    if '"' not in raw:
-        if "\n" in raw or "\r" in raw:
-            raise csv.Error("line end outside quotes")
-        return raw.split(",")
     records = list(assemble(physical_lines(raw)))
     if len(records) > 1:
         raise csv.Error("line end outside quotes")
-    rows = list(csv.reader([raw], strict=True))
-    if len(rows) != 1:
-        raise csv.Error("not one record")
+    rows = list(csv.reader(records, strict=True))
+    if not rows:
+        return [""]  # an empty record has one empty field
     fields = rows[0]
     # the strict reader still takes a quote inside a bare field as text
     if any('"' in f and not quoted for f, quoted in zip(fields, _quoted(raw, fields))):
