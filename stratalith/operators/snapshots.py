@@ -14,10 +14,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratalith.session import cut_lineage
+
 SUB_BUCKETS = 128
-BROADCAST_ROWS = 200_000
+BROADCAST_PAIRS = 200_000
+BROADCAST_CHANGES = 500_000
 KINDS = np.array(["added", "removed", "changed"])
-_COMPACT = ("k1", "k2", "snap", "prev", "next", "row", "at")
+_COMPACT = ("k1", "k2", "place", "at", "row")
 
 
 def _null_safe_hash(values: list[Column], seed: int) -> Column:
@@ -29,43 +32,35 @@ def _null_safe_hash(values: list[Column], seed: int) -> Column:
 
 
 def compare_bucket(a: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Differences of one bucket. ``prev``/``next`` are the group's neighbouring snapshots, or -1.
+    """Differences of one bucket. ``place`` is twice the number of the snapshot within its group (from 1), plus one if it is the group's last.
 
-    Each key's rows are all in the bucket. Of several rows for one key and snapshot
-    the last delivered holds (equal times: the greater row hash).
+    Each key's rows are all in the bucket. Of several rows for one key and snapshot the last delivered holds (equal
+    times: the greater row hash). ``to`` is the number of the later snapshot of the two.
     """
-    order = np.lexsort((a["row"], a["at"], a["snap"], a["k2"], a["k1"]))
-    k1, k2, snap, prev, nxt, row = (a[name][order] for name in _COMPACT[:6])
+    order = np.lexsort((a["row"], a["at"], a["place"], a["k2"], a["k1"]))
+    k1, k2, place, row = (a[name][order] for name in ("k1", "k2", "place", "row"))
     new_key = np.ones(len(k1), bool)
     new_key[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
     last = np.ones(len(k1), bool)
-    last[:-1] = new_key[1:] | (snap[1:] != snap[:-1])
+    last[:-1] = new_key[1:] | (place[1:] != place[:-1])
     key = np.cumsum(new_key) - 1
-    k1, k2, snap, prev, nxt, row, key = (x[last] for x in (k1, k2, snap, prev, nxt, row, key))
-
-    numbers = np.unique(np.concatenate([snap, prev, nxt]))
-    rank = {"snap": np.searchsorted(numbers, snap), "prev": np.searchsorted(numbers, prev), "next": np.searchsorted(numbers, nxt)}
-    code = key * len(numbers) + rank["snap"]
-
-    def find(which: str) -> tuple[np.ndarray, np.ndarray]:
-        wanted = key * len(numbers) + rank[which]
-        at = np.minimum(np.searchsorted(code, wanted), len(code) - 1)
-        return at, code[at] == wanted
-
-    at_prev, in_prev = find("prev")
-    _, in_next = find("next")
-    added = (prev >= 0) & ~in_prev
-    changed = (prev >= 0) & in_prev & (row[at_prev] != row)
-    removed = (nxt >= 0) & ~in_next
-    parts = [(added, prev, snap, 0), (removed, snap, nxt, 1), (changed, prev, snap, 2)]
-    pick = lambda values: np.concatenate([v[m] for m, v in values])
+    k1, k2, place, row, key = (x[last] for x in (k1, k2, place, row, key))
+    at, final = place >> 1, (place & 1).astype(bool)
+    width = int(at.max(initial=0)) + 2
+    code = key * width + at
+
+    def find(shift: int) -> tuple[np.ndarray, np.ndarray]:
+        where = np.minimum(np.searchsorted(code, code + shift), len(code) - 1)
+        return where, code[where] == code + shift
+
+    before, in_before = find(-1)
+    _, in_after = find(1)
+    parts = [(at > 1) & ~in_before, ~final & ~in_after, (at > 1) & in_before & (row[before] != row)]
+    pick = lambda values: np.concatenate([values[m] for m in parts])
     return {
-        "k1": pick([(m, k1) for m, *_ in parts]),
-        "k2": pick([(m, k2) for m, *_ in parts]),
-        "from_snapshot": pick([(m, f) for m, f, _, _ in parts]).astype(np.int64),
-        "to_snapshot": pick([(m, t) for m, _, t, _ in parts]).astype(np.int64),
-        "change": np.concatenate([np.full(int(m.sum()), kind) for m, _, _, kind in parts]).astype(np.int64),
-    }
+        "k1": pick(k1), "k2": pick(k2), "to": np.concatenate([at[parts[0]], at[parts[1]] + 1, at[parts[2]]]).astype(np.int64),
+        "change": np.repeat(np.arange(3), [int(m.sum()) for m in parts]),
+    }
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,10 +72,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held:
             out = compare_bucket({name: np.concatenate([h[name] for h in held]) for name in _COMPACT})
             if len(out["k1"]):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out["k1"]), pa.array(out["k2"]), pa.array(out["from_snapshot"]), pa.array(out["to_snapshot"]), pa.array(KINDS[out["change"]].tolist(), pa.string())],
-                    names=["k1", "k2", "from_snapshot", "to_snapshot", "change"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(out["k1"]), pa.array(out["k2"]), pa.array(out["to"]), pa.array(KINDS[out["change"]].tolist(), pa.string())], names=["k1", "k2", "to", "change"])
             held.clear()
 
     for batch in batches:
@@ -111,8 +103,9 @@ def snapshot_changes(df: DataFrame, group: str, key: str, snapshot: str, deliver
     ``old_<name>`` and ``new_<name>`` of each compared column.
 
     Scale: keys are spread over all partitions by hash, so a group that holds a third
-    of the rows is split; only about 60 bytes a row are shuffled for the comparison. The
-    list of (group, snapshot) pairs is broadcast up to 200,000 counted pairs, joined beyond.
+    of the rows is split; only 40 bytes a row are shuffled for the comparison. The list of (group, snapshot)
+    pairs and the changes are written to the shared folder and counted there; up to 200,000 pairs and 500,000 changes
+    are broadcast, so that full values are read for differing keys only and without a shuffle; more are joined.
     """
     base = df.select(
         F.col(group).alias("_g"), F.col(key).alias("_k"), F.col(snapshot).cast("long").alias("snap"),
@@ -120,30 +113,25 @@ def snapshot_changes(df: DataFrame, group: str, key: str, snapshot: str, deliver
         *[c.alias(f"_v_{name}") for name, c in compare.items()],
     ).where("_g IS NOT NULL AND _k IS NOT NULL AND snap IS NOT NULL")
     base = base.withColumns({
-        "k1": F.xxhash64(F.lit(1), "_g", F.lit(0), "_k"),
-        "k2": F.xxhash64(F.lit(7), "_k", F.lit(5), "_g"),
-    })
+        "k1": F.xxhash64(F.lit(1), "_g", F.lit(0), "_k"), "k2": F.hash(F.lit(7), "_k", F.lit(5), "_g").cast("long"),
+        "row": _null_safe_hash([F.col(f"_v_{n}") for n in compare], 11),
+    })
     in_group = Window.partitionBy("_g").orderBy("snap")
-    numbers = (
-        base.select("_g", "snap").distinct()
-        .withColumns({"prev": F.coalesce(F.lag("snap").over(in_group), F.lit(-1)), "next": F.coalesce(F.lead("snap").over(in_group), F.lit(-1))})
-    )
-    small = numbers.select("_g").limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    compact = (
-        base.join(F.broadcast(numbers) if small else numbers, ["_g", "snap"])
-        .select("k1", "k2", "snap", "prev", "next", "at", _null_safe_hash([F.col(f"_v_{n}") for n in compare], 11).alias("row"))
-        .withColumn("sub", F.pmod(F.shiftrightunsigned("k1", 32), F.lit(SUB_BUCKETS)))
-    )
-    different = (
-        compact.repartition("k1").sortWithinPartitions("sub")
-        .mapInArrow(_buckets, "k1 long, k2 long, from_snapshot long, to_snapshot long, change string")
+    numbered = base.select("_g", "snap").distinct().withColumns({"n": F.row_number().over(in_group).cast("long"), "prev": F.lag("snap").over(in_group), "more": F.lead("snap").over(in_group).isNotNull()})
+    numbers = cut_lineage(numbered)
+    few = lambda df, most: F.broadcast(df) if df.count() <= most else df
+    steps = few(numbers, BROADCAST_PAIRS)
+    compact = base.join(steps, ["_g", "snap"]).select("k1", "k2", (F.col("n") * 2 + (~F.col("more")).cast("long")).alias("place"), "at", "row")
+    different = cut_lineage(
+        compact.repartition("k1").withColumn("sub", F.pmod(F.shiftrightunsigned("k1", 32), F.lit(SUB_BUCKETS))).sortWithinPartitions("sub")
+        .mapInArrow(_buckets, "k1 long, k2 long, to long, change string")
     )
     names = list(compare) if values else []
-    source = base.select("k1", "k2", "snap", "at", "_g", "_k", *[f"_v_{n}" for n in names])
-    found = different.join(source, ["k1", "k2"]).where("snap IN (from_snapshot, to_snapshot)")
-    newest = lambda name, side: F.max_by(F.when(F.col("snap") == F.col(side), F.struct(f"_v_{name}")), F.when(F.col("snap") == F.col(side), F.col("at")))[f"_v_{name}"]
+    source = base.select("k1", "k2", "snap", "at", "row", "_g", "_k", *[f"_v_{n}" for n in names]).join(few(different, BROADCAST_CHANGES), ["k1", "k2"])
+    found = source.join(steps.select("_g", F.col("n").alias("to"), F.col("snap").alias("to_snapshot"), F.col("prev").alias("from_snapshot")), ["_g", "to"]).where("snap IN (from_snapshot, to_snapshot)")
+    side = lambda name, at: F.max_by(F.when(F.col("snap") == F.col(at), F.struct(f"_v_{name}")), F.when(F.col("snap") == F.col(at), F.struct("at", "row")))[f"_v_{name}"]
     wide = found.groupBy("k1", "k2", "from_snapshot", "to_snapshot", "change").agg(
         F.first("_g").alias(group), F.first("_k").alias(key),
-        *[newest(n, "from_snapshot").alias(f"old_{n}") for n in names], *[newest(n, "to_snapshot").alias(f"new_{n}") for n in names],
+        *[side(n, "from_snapshot").alias(f"old_{n}") for n in names], *[side(n, "to_snapshot").alias(f"new_{n}") for n in names],
     )
-    return wide.select(group, key, F.col("from_snapshot").cast("int"), F.col("to_snapshot").cast("int"), "change", *[f"{side}_{n}" for n in names for side in ("old", "new")])
+    return wide.select(group, key, F.col("from_snapshot").cast("int"), F.col("to_snapshot").cast("int"), "change", *[f"{which}_{n}" for n in names for which in ("old", "new")])
