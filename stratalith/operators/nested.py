@@ -7,7 +7,7 @@ table whose rows carry their parent's surrogate key and their place in the array
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from stratalith.session import cut_lineage
 
-MAX_OBJECT_FIELDS = 200
+MAX_FIELDS = 200
 # Places whose types are looked at in one aggregate; the rest follow in further ones.
 MAX_PLACES = 100
 
@@ -88,16 +88,28 @@ def read_json(payload: Column) -> Column:
     return F.when(F.schema_of_variant(one).startswith("OBJECT"), one)
 
 
-def _path(name: str) -> str | None:
-    """Variant path of a field; None for names that a path can't hold."""
-    if "'" not in name and "\\" not in name:
-        return f"$['{name}']"
-    return f'$["{name}"]' if '"' not in name and "\\" not in name else None
+def _get(value: Column, name: str, kind: str) -> Column:
+    """A field by its name, whatever characters that has; null if the value is no object or lacks it."""
+    if "'" in name and '"' in name:  # no variant path can hold both
+        return F.try_variant_get(F.try_element_at(F.try_variant_get(value, "$", "map<string,variant>"), F.lit(name)), "$", kind)
+    return F.try_variant_get(value, f'$["{name}"]' if "'" in name else f"$['{name}']", kind)
 
 
-def _get(value: Column, name: str, kind: str) -> Column:
-    path = _path(name)
-    return F.try_variant_get(value, path, kind) if path else F.lit(None).cast(kind)
+def merged(nodes: Iterable[Node]) -> Node:
+    """One node for values of several: their fields and elements put together, VARIANT where their kinds differ."""
+    nodes = [n for n in nodes if n.kind != "VOID"]
+    if not nodes:
+        return Node("VOID")
+    kinds = {n.kind for n in nodes}
+    names = dict.fromkeys(name for n in nodes for name in n.fields)
+    elements = [n.element for n in nodes if n.element is not None]
+    fields = {name: merged(n.fields[name] for n in nodes if name in n.fields) for name in names}
+    return Node(kinds.pop() if len(kinds) == 1 else "VARIANT", fields, merged(elements) if elements else None)
+
+
+def _arrays_below(node: Node) -> int:
+    """Arrays that can be named from a place without an explode."""
+    return sum((child.element is not None) + _arrays_below(child) for child in node.fields.values())
 
 
 def infer_schema(documents: DataFrame, document: str) -> Node:
@@ -136,12 +148,12 @@ def _refine(level: DataFrame, node: Node) -> None:
             known.add(id(n))
             n.fields, n.element = whole.fields, array.element
     for value, n in _places(F.col("element"), node):
-        if n is not node and n.element is not None and _conflicts(n.element):
+        if n.element is not None and _conflicts(n.element):
             below = level.select(F.explode(F.try_variant_get(value, "$", "array<variant>")).alias("element"))
             _refine(below.where(F.col("element").isNotNull() & ~F.is_variant_null("element")), n.element)
 
 
-def flatten_documents(documents: DataFrame, key: str, document: str, schema: Node | None = None) -> dict[str, DataFrame]:
+def flatten_documents(documents: DataFrame, key: str, document: str, schema: Node | None = None, max_fields: int = MAX_FIELDS) -> dict[str, DataFrame]:
     """Flat tables of nested documents, by path (``""`` the documents themselves).
 
     ``documents`` has one row per document with a unique ``key`` and a variant column
@@ -151,14 +163,19 @@ def flatten_documents(documents: DataFrame, key: str, document: str, schema: Nod
     of the enclosing elements, outermost first), the key, ``element``
     (the variant itself) and a typed ``f_<name>`` column per scalar field of the merged
     schema. Fields absent from a document are null. Objects inside objects are joined
-    to their parent by dotted names; an object with more than 200 distinct fields (a map
-    in disguise) is kept as JSON text, as are fields whose types conflict; arrays inside
-    either become child tables all the same, and fields of conflicting objects columns.
-    Arrays of scalars become child tables with ``value``; an array directly inside an array
-    stays JSON text there. Where a field holds no array in some document, that document
+    to their parent by dotted names; fields whose types conflict are JSON text; arrays inside
+    them become child tables all the same, and fields of conflicting objects columns.
+    Arrays of scalars become child tables with ``value``; of an array directly inside an array the elements
+    are the child table ``<path>[]``. Where a field holds no array in some document, that document
     gives no child rows. Of paths that coincide the later get a number.
 
-    Scale: each document is parsed once; each level is one generate step without shuffle.
+    An object with more than ``max_fields`` distinct fields is a map in disguise: it is JSON text in its
+    parent, and its fields are the rows of a child table ``<path>.*`` with the field's name as ``entry``.
+    Arrays in it are child tables by their names, or, if there are more than ``max_fields`` of those too,
+    child tables of the entries.
+
+    Scale: each document is parsed once; each level is one generate step without shuffle. The merged schema goes to the
+    driver: it grows with the number of distinct field names, which the aggregate merges on the executors first.
     """
     schema = infer_schema(documents, document) if schema is None else schema
     root = documents.where(F.col(document).isNotNull()).select(
@@ -167,10 +184,11 @@ def flatten_documents(documents: DataFrame, key: str, document: str, schema: Nod
     )
     tables: dict[str, DataFrame] = {}
 
-    def visit(path: str, level: DataFrame, node: Node) -> None:
+    def visit(path: str, level: DataFrame, node: Node, more: tuple[str, ...] = ()) -> None:
         columns: list[Column] = []
         taken: set[str] = set()
         arrays: list[tuple[str, Column, Node]] = []
+        maps: list[tuple[str, Column, Node]] = []
 
         def label(dotted: str) -> str:
             """Column name; names that differ only by case get a number."""
@@ -181,40 +199,54 @@ def flatten_documents(documents: DataFrame, key: str, document: str, schema: Nod
             taken.add(name.lower())
             return name
 
-        def walk(prefix: str, value: Column, current: Node, wide: bool = False) -> None:
+        def walk(dotted: str, value: Column, current: Node, wide: bool) -> None:
             """Columns and arrays of an object; of a wide one, which is a column itself, the arrays only."""
+            if len(current.fields) > max_fields:
+                named = _arrays_below(current) <= max_fields
+                maps.append((f"{dotted}.*".lstrip("."), value, Node("VARIANT") if named else merged(current.fields.values())))
+                if not named:
+                    return
+                wide = True
             for name, child in current.fields.items():
-                dotted = f"{prefix}{name}"
+                field_name = f"{dotted}.{name}" if dotted else name
                 if child.kind == "array":
-                    arrays.append((dotted, _get(value, name, "array<variant>"), child))
+                    arrays.append((field_name, _get(value, name, "array<variant>"), child.element))
                 elif child.kind in ("object", "VARIANT"):
                     raw = _get(value, name, "variant")
-                    inner_wide = wide or len(child.fields) > MAX_OBJECT_FIELDS
-                    if not wide and (inner_wide or child.kind == "VARIANT"):
-                        columns.append(F.when(~F.is_variant_null(raw), F.coalesce(F.try_variant_get(raw, "$", "string"), F.to_json(raw))).alias(label(dotted)))
+                    if not wide and (len(child.fields) > max_fields or child.kind == "VARIANT"):
+                        columns.append(F.when(~F.is_variant_null(raw), F.coalesce(F.try_variant_get(raw, "$", "string"), F.to_json(raw))).alias(label(field_name)))
                     if child.kind == "VARIANT" and (child.element or not wide):
-                        arrays.append((dotted, F.try_variant_get(raw, "$", "array<variant>"), Node("array", element=child.element or Node("VARIANT"))))
-                    walk(f"{dotted}.", raw, child, inner_wide)
+                        arrays.append((field_name, F.try_variant_get(raw, "$", "array<variant>"), child.element or Node("VARIANT")))
+                    walk(field_name, raw, child, wide)
                 elif not wide:
-                    columns.append(_get(value, name, "string" if child.kind == "VOID" else child.kind).alias(label(dotted)))
+                    columns.append(_get(value, name, "string" if child.kind == "VOID" else child.kind).alias(label(field_name)))
 
-        walk("", F.col("element"), node)
-        if node.kind not in ("object",):
+        walk("", F.col("element"), node, False)
+        if node.element is not None:
+            arrays.append(("[]", F.try_variant_get("element", "$", "array<variant>"), node.element))
+        if node.kind != "object":
             columns.append(F.coalesce(F.try_variant_get("element", "$", "string"), F.to_json("element")).alias("value"))
         place, n = path, 1
         while place in tables:
             n += 1
             place = f"{path}~{n}"
-        tables[place] = level.select(key, "row_id", "parent_id", "position", "ancestors", "element", *columns)
+        tables[place] = level.select(key, "row_id", "parent_id", "position", "ancestors", "element", *more, *columns)
+        below = F.array_append("ancestors", F.col("position")) if path else F.col("ancestors")
+        held = F.col("element").isNotNull() & ~F.is_variant_null("element")
         for name, value, child in arrays:
-            inner = f"{path}.{name}".lstrip(".")
-            below = F.array_append("ancestors", F.col("position")) if path else F.col("ancestors")
             exploded = (
-                level.select(key, F.col("row_id").alias("parent_id"), below.alias("ancestors"), F.posexplode(value).alias("position", "element"))
-                .where(F.col("element").isNotNull() & ~F.is_variant_null("element"))
+                level.select(key, F.col("row_id").alias("parent_id"), below.alias("ancestors"), F.posexplode(value).alias("position", "element")).where(held)
+                .withColumn("row_id", F.concat(F.col("parent_id"), F.lit("" if name == "[]" else f"/{name}"), F.lit("["), F.col("position").cast("string"), F.lit("]")))
+            )
+            visit(path + name if name == "[]" else f"{path}.{name}".lstrip("."), exploded, child)
+        for name, value, child in maps:
+            entries = F.posexplode(F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))).alias("position", "_entry")
+            exploded = (
+                level.select(key, F.col("row_id").alias("parent_id"), below.alias("ancestors"), entries)
+                .select(key, "parent_id", "ancestors", "position", F.col("_entry.key").alias("entry"), F.col("_entry.value").alias("element")).where(held)
                 .withColumn("row_id", F.concat(F.col("parent_id"), F.lit(f"/{name}["), F.col("position").cast("string"), F.lit("]")))
-            )
-            visit(inner, exploded, child.element)
+            )
+            visit(f"{path}.{name}".lstrip("."), exploded, child, ("entry",))
 
     visit("", root, schema)
     return tables
@@ -232,11 +264,21 @@ def schema_documents(artifacts: DataFrame) -> DataFrame:
     return whole.select("artifact_id", F.when(bundled, F.try_variant_get("whole", "$.physical", "variant")).otherwise(F.col("whole")).alias("document"))
 
 
+def _objects_only(schema: Node, path: list[str]) -> bool:
+    """Whether all elements of the array at a path of arrays are objects."""
+    for name in path:
+        found = schema.fields.get(name)
+        if found is None or found.element is None:
+            return False
+        schema = found.element
+    return schema.kind == "object"
+
+
 def artifact_tables(artifacts: DataFrame) -> dict[str, DataFrame]:
     """``tables``, ``columns`` and ``relationships`` of all artifacts, with marks and keys.
 
     Columns: artifact_id, row_id, parent_id, table_pos, node_pos, node_name, sensitive,
-    payload fields by merged schema. Unreadable and missing payloads give no rows.
+    payload fields by merged schema. Unreadable and missing payloads give no rows, nor do elements that are no objects.
     """
     documents = cut_lineage(schema_documents(artifacts))
     schema = infer_schema(documents, "document")
@@ -247,6 +289,8 @@ def artifact_tables(artifacts: DataFrame) -> dict[str, DataFrame]:
         level = levels.get(path)
         if level is None:
             level = empty
+        if not _objects_only(schema, path.split(".")):
+            level = level.where(F.schema_of_variant("element").startswith("OBJECT"))
         if kind != "table":
             level = level.where(F.size("ancestors") == 1)
         element = F.col("element")

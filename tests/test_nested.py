@@ -80,3 +80,36 @@ def test_arrays_inside_wide_objects_and_conflicting_paths(spark):
     flat = flatten_documents(spark.createDataFrame(rows, "id long, p string").select("id", read_json(F.col("p")).alias("v")), "id", "v")
     assert [r["value"] for r in flat["m.list.b"].orderBy("position").collect()] == ["1", "2"] and "f_m" in flat[""].columns and "f_m.k1" not in flat[""].columns
     assert [(r["id"], r["f_d"]) for r in flat["a.b"].collect()] == [(2, 6)] and [(r["id"], r["f_c"]) for r in flat["a.b~2"].collect()] == [(1, 5)]
+
+
+def flat_of(spark, *documents, **more):
+    rows = list(enumerate(map(json.dumps, documents)))
+    return flatten_documents(spark.createDataFrame(rows, "id long, p string").select("id", read_json(F.col("p")).alias("v")), "id", "v", **more)
+
+
+def test_scalar_elements_give_no_rows(spark):
+    assert nodes(spark, [json.dumps({"tables": ["x", 1, [2], {"name": "t", "columns": ["y", None, {"name": "a"}]}]})])[0] == [(0, "column", 3, 2, "a", "none"), (0, "table", 3, -1, "t", "none")]
+
+
+def test_arrays_in_arrays(spark):
+    flat = flat_of(spark, {"m": [[1, 2], [3], None, []]}, {"m": [[[4]]]}, {"m": "x"})
+    assert sorted((r["id"], r["ancestors"], r["position"], r["value"], r["row_id"]) for r in flat["m[]"].collect()) == [
+        (0, [0], 0, "1", "0/m[0][0]"), (0, [0], 1, "2", "0/m[0][1]"), (0, [1], 0, "3", "0/m[1][0]"), (1, [0], 0, "[4]", "1/m[0][0]")]
+    assert [(r["id"], r["ancestors"], r["value"]) for r in flat["m[][]"].collect()] == [(1, [0, 0], "4")]
+
+
+def test_any_field_name(spark):
+    names = ["a\\b", "", "it's", 'say "x"', "'\"", "a.b", "a?b", "[0]", "$"]
+    row = flat_of(spark, dict(zip(names, range(len(names)))))[""].first()
+    assert [row[f"f_{n}"] for n in names] == list(range(len(names)))
+
+
+def test_maps_in_disguise(spark):
+    few = {f"k{i}": [i] for i in range(5)}
+    flat = flat_of(spark, {"m": few, "n": {"a": 1, "b": 2, "c": None, "d": {"e": [7]}, "f": 1}}, {"o": 1}, max_fields=4)
+    assert sorted((r["entry"], r["value"]) for r in flat["m.*"].collect()) == [(k, f"[{v[0]}]") for k, v in few.items()]
+    assert sorted((r["parent_id"], r["ancestors"], r["value"]) for r in flat["m.*[]"].collect()) == sorted((f"0/m.*[{i}]", [i], f"{i}") for i in range(5))
+    assert {r["parent_id"] for r in flat["m.*[]"].collect()} == {r["row_id"] for r in flat["m.*"].collect()}
+    assert sorted(r["entry"] for r in flat["n.*"].collect()) == ["a", "b", "d", "f"] and [r["value"] for r in flat["n.d.e"].collect()] == ["7"]
+    many = flat_of(spark, {f"k{i}": {"list": [i]} for i in range(201)})
+    assert many["*"].count() == 201 and many["*.list"].count() == 201 and len(many) == 3
