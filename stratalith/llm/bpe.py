@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import chain, repeat
 
@@ -213,15 +214,19 @@ class Encoder:
 
 
 _ENCODERS: dict[int, Encoder] = {}
+_LAST_RUN: list[str] = []
 
 
-def encoder(shared: Broadcast | bytes) -> Encoder:
-    """This process's encoder for a vocabulary."""
+def encoder(shared: Broadcast | bytes, run: str = "") -> Encoder:
+    """This process's encoder for a vocabulary. What it learnt of words is kept within one ``run`` of an operator only."""
     data = shared if isinstance(shared, bytes) else shared.value
     key = hash(data)
     if key not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[key] = Encoder(data)
+    if _LAST_RUN != [run]:
+        _ENCODERS[key].clear()
+        _LAST_RUN[:] = [run]
     return _ENCODERS[key]
 
 
@@ -259,15 +264,35 @@ def count_column(df: DataFrame, text: str, keep: list[str], vocabulary: str = DE
     return _apply(df, text, keep, vocabulary, ids=False)
 
 
+def decode_column(df: DataFrame, ids: str, keep: list[str], vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
+    """``keep`` columns and ``text`` of every row: its tokens' bytes in order, the inverse of :func:`encode_column`.
+
+    Null and empty lists give an empty text; a null or unknown id gives an error; bytes that are no UTF-8 (of lists that
+    don't come from encoding) give replacement characters. Scale: one narrow Arrow pass; the vocabulary is broadcast.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+    source = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keep)], F.col(ids).cast("array<int>").alias("_ids"))
+    kept = source.schema.fields[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = {i: t for t, i in parse_ranks(shared.value).items()}
+        for batch in batches:
+            texts = [b"".join(map(tokens.__getitem__, row.as_py() or ())).decode("utf-8", "replace") for row in batch.column("_ids")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(texts, pa.string())], names=[*(f.name for f in kept), "_out"])
+
+    result = source.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept), "_out string"]))
+    return result.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keep)], F.col("_out").alias("text"))
+
+
 def _apply(df: DataFrame, text: str, keep: list[str], vocabulary: str, ids: bool) -> DataFrame:
     spark: SparkSession = df.sparkSession
-    shared = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
+    shared, number = spark.sparkContext.broadcast(read_vocabulary(vocabulary)), uuid.uuid4().hex
     source = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keep)], F.col(text).cast("string").alias("_text"))
     kept = source.schema.fields[:-1]
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept), "_out array<int>" if ids else "_out bigint"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker = encoder(shared)
+        worker = encoder(shared, number)
         for batch in batches:
             at = 0
             for texts in _slices(batch.column("_text")):

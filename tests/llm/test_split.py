@@ -7,19 +7,21 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from stratalith.llm.split import Range, cut_segment, split_chunks, split_files, split_items
+from stratalith.llm.split import cut_segment, halos, range_cuts, split_chunks, split_files, split_items
 
 PARTS = ["word ", "A sentence. ", "para\n\n", "日本語の文。", "xxxxxxxxxxxxxxxxxxxxxxxxx", " ", "é", "\n", "approx. 12 % ", "\U0001f469‍\U0001f680"]
 
 
-def ranges(text, most, overlap, size):
+def ranges(text, most, overlap, size, per, least=0):
+    """Pieces of a text by ranges of ``per`` segments, from each range's bytes and halos alone."""
     data, out, done = text.encode(), [], 0
-    count = max(1, -(-len(data) // size))
-    for k in range(count):
-        lo, hi = max(0, k * size - overlap * 4 - 16), min(len(data), (k + 1) * size + most * 4 + 16)
-        part = Range(data[lo:hi], lo, k, count, size, most)
-        out += [(a + done - part.base, b + done - part.base, part.text[a:b]) for a, b in part.pieces(k, most, overlap)]
-        done += part.owned
+    size = max(size, most * 12 + overlap * 4 + 64)
+    left, right = halos(most, overlap)
+    for k in range(max(1, -(-len(data) // (size * per)))):
+        lo, hi = max(0, k * size * per - left), min(len(data), (k + 1) * size * per + right)
+        owned, cuts = range_cuts(data[lo:hi], lo, k, per, size, len(data), most, overlap)
+        out += [(a + done, b + done, data[c:d].decode()) for a, b, c, d in cuts.tolist()]
+        done += owned
     return out
 
 
@@ -35,7 +37,18 @@ def check(text, pieces, most, overlap):
 @given(st.lists(st.sampled_from(PARTS), min_size=1, max_size=120), st.integers(1, 80), st.integers(0, 80), st.booleans())
 def test_pieces_rebuild_the_text(parts, most, overlap, small):
     text = "".join(parts)
-    check(text, ranges(text, most, overlap, most * 12 + overlap * 4 + 64 if small else 1 << 20), most, overlap)
+    found = ranges(text, most, overlap, 1 if small else 1 << 20, 1)
+    check(text, found, most, overlap)
+    assert found == ranges(text, most, overlap, 1 if small else 1 << 20, 3)
+
+
+@pytest.mark.parametrize("filler", [" ", "\n", "x", "\u0301", "\u3000", "\U0001f469"])
+def test_long_runs_over_the_edges_of_ranges(filler):
+    for n in (50, 130, 700):
+        text = "Begin here. " + filler * n + " then. " + "a b. " * 40 + filler * n + "end"
+        found = ranges(text, 7, 3, 1, 1)
+        check(text, found, 7, 3)
+        assert found == ranges(text, 7, 3, 1, 5)
 
 
 def test_natural_places():
@@ -66,16 +79,25 @@ def test_types_duplicates_and_empty_texts(spark):
     assert split_chunks(rows(spark, []), limits(spark)).collect() == []
 
 
-@pytest.mark.parametrize("range_bytes", [1, 400, 1 << 20])
-def test_giant_texts_by_ranges(spark, range_bytes):
+def test_giant_texts_by_ranges(spark):
     rng = random.Random(6)
-    texts = {f"t{i}": "".join(rng.choices(PARTS, k=rng.choice([1, 5, 900]))).strip(" \t\r\n") for i in range(12)}
+    texts = {f"t{i}": "".join(rng.choices(PARTS, k=rng.choice([1, 5, 9000]))).strip(" \t\r\n") for i in range(12)}
     items = spark.createDataFrame([(k, v, 30, 6, "clash") for k, v in texts.items()], "item string, text string, max_chars int, overlap int, data string")
-    found = split_items(items, range_bytes).collect()
-    for name, text in texts.items():
-        mine = sorted((r["piece_no"], r["start_char"], r["end_char"], r["piece"], r["n_pieces"]) for r in found if r["item"] == name)
-        assert [m[0] for m in mine] == list(range(len(mine))) and all(m[4] == len(mine) for m in mine)
-        check(text, [m[1:4] for m in mine], 30, 6)
+    by_range = {}
+    for range_bytes in (1, 20_000, 1 << 20):
+        found = by_range[range_bytes] = sorted(map(tuple, split_items(items, range_bytes).collect()))
+        for name, text in texts.items():
+            mine = [r for r in found if r[0] == name]
+            assert [m[1] for m in mine] == list(range(len(mine))) and all(m[2] == len(mine) for m in mine)
+            check(text, [m[3:6] for m in mine], 30, 6)
+    assert by_range[1] == by_range[20_000] == by_range[1 << 20] and max(map(len, texts.values())) > 40_000
+
+
+def test_overlaps_as_long_as_the_limit_and_bad_limits(spark):
+    items = spark.createDataFrame([("a", "one two three four", 5, 9), ("b", "abc", 0, -1), ("c", "abc", -7, None)], "item string, text string, max_chars int, overlap int")
+    found = split_items(items).orderBy("item", "piece_no").collect()
+    check("one two three four", [(r["start_char"], r["end_char"], r["piece"]) for r in found if r["item"] == "a"], 5, 4)
+    assert [r["piece"] for r in found if r["item"] != "a"] == ["a", "b", "c"] * 2
 
 
 def test_files_by_ranges(spark, tmp_path):
@@ -86,3 +108,11 @@ def test_files_by_ranges(spark, tmp_path):
     found = split_files(spark, [str(tmp_path / "big.txt"), str(tmp_path / "empty.txt")], 100, 10, 4096).orderBy("piece_no").collect()
     check(text, [(r["start_char"], r["end_char"], r["piece"]) for r in found], 100, 10)
     assert len(found) == found[0]["n_pieces"]
+    again = split_files(spark, [str(tmp_path / "big.txt")], 100, 10, 1 << 20).orderBy("piece_no").collect()
+    assert again == found
+
+
+def test_bytes_that_are_no_text(spark, tmp_path):
+    (tmp_path / "odd.txt").write_bytes(b"ab\xff\xfe cd \x80\x80\x80\x80 \xe3\x81" * 3000)
+    found = split_files(spark, [str(tmp_path / "odd.txt")], 50, 0, 1).orderBy("piece_no").collect()
+    assert found[0]["start_char"] == 0 and all(a["end_char"] == b["start_char"] for a, b in zip(found, found[1:])) and all(len(r["piece"]) <= 50 for r in found)
