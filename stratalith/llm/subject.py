@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalith.session import spread
+from stratalith.session import cut_lineage, spread
 
 MAX_LABELLED = 8_000
-MAX_TERMS = 3_000
+LEAST_SCORE = 1.0
 MAX_AREAS = 500
 BEAM = 8
 FOLDS = 3
@@ -69,7 +69,8 @@ class Chain:
         counts = np.array([len(f) for f in found])
         get = self.index.get
         flat = np.fromiter((get(w, -1) for f in found for w in f), np.int64, int(counts.sum()))
-        return feature_rows(flat, np.repeat(np.arange(len(texts)), counts), len(texts), len(self.index), [structure(t) for t in texts], [self.sources.get(source_name(s), -1) for s in sources], len(self.sources))
+        row, seen = np.repeat(np.arange(len(texts)), counts)[flat >= 0], flat[flat >= 0]
+        return feature_rows(row, seen, np.ones(len(seen)), len(texts), len(self.index), [structure(t) for t in texts], [self.sources.get(source_name(s), -1) for s in sources], len(self.sources))
 
     def decode(self, x: np.ndarray, beam: int = BEAM) -> np.ndarray:
         """The most probable combination of each row that the beam finds, as booleans."""
@@ -94,13 +95,12 @@ class Chain:
         return best > 0
 
 
-def feature_rows(flat: np.ndarray, row: np.ndarray, n: int, n_terms: int, shape: list[list[float]], source: list[int], n_sources: int) -> np.ndarray:
+def feature_rows(row: np.ndarray, term: np.ndarray, count: np.ndarray, n: int, n_terms: int, shape: list[list[float]], source: list[int], n_sources: int) -> np.ndarray:
     """Logarithms of term counts, then source marks and structure.
 
     Counts aren't scaled to the text's length: a second area must not weaken the first.
     """
-    known = flat >= 0
-    counts = np.log1p(np.bincount(row[known] * n_terms + flat[known], minlength=n * n_terms).reshape(n, n_terms).astype(np.float32))
+    counts = np.log1p(np.bincount(row * n_terms + term, weights=count, minlength=n * n_terms).reshape(n, n_terms).astype(np.float32))
     marks = np.zeros((n, n_sources), np.float32)
     at = np.array(source, np.int64).reshape(-1)
     if n_sources:
@@ -112,11 +112,12 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 150, rat
     """All links at once: each sees the true earlier areas. Adam on the ridge-penalised log loss."""
     n, k = y.shape
     mask = np.triu(np.ones((k, k), np.float32), 1)
-    p = [np.zeros((x.shape[1], k), np.float32), np.log((y.mean(0) + 1e-3) / (1 - y.mean(0) + 1e-3)).astype(np.float32), np.zeros((k, k), np.float32)]
+    mean = y.sum(0) / max(1, n)
+    p = [np.zeros((x.shape[1], k), np.float32), np.log((mean + 1e-3) / (1 - mean + 1e-3)).astype(np.float32), np.zeros((k, k), np.float32)]
     m, v = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
     for t in range(1, steps + 1):
         z = x @ p[0] + p[1] + y @ (p[2] * mask)
-        r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
+        r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / max(1, n)
         g = [x.T @ r + ridge * p[0] / 10, r.sum(0), (y.T @ r) * mask + ridge * p[2]]
         step = rate * (1 - t / (steps + 1))
         for i in range(3):
@@ -153,34 +154,29 @@ def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (a, b) if a > 0.05 else (1.0, 0.0)
 
 
-def fit_chain(flat: pa.StringArray, row: np.ndarray, shape: list[list[float]], sources: list[str], labels: list[set[str]], notes: dict[str, str]) -> Chain:
-    """Chain from labelled documents: their terms (``flat`` with the document of each), structure, sources, areas.
+@dataclass
+class Sample:
+    """Labelled documents: which of the chosen terms each holds how often, its structure, source and areas."""
+
+    row: np.ndarray
+    term: np.ndarray
+    count: np.ndarray
+    shape: list[list[float]]
+    sources: list[str]
+    labels: list[set[str]]
+
+
+def fit_chain(sample: Sample, names: list[str], areas: list[str]) -> Chain:
+    """Chain from a sample over the terms ``names``; ``areas`` come in the order of the chain.
 
     Hand-given labels are partly wrong or incomplete: where the held-out prediction
-    is sure of the opposite (odds of 12 to 1), it replaces the label before the last fit. Each area's name and scope note count as a document of that area.
+    is sure of the opposite (odds of 12 to 1), it replaces the label before the last fit.
     """
-    frequency = Counter(a for s in labels for a in s)
-    areas = sorted(notes, key=lambda a: (-frequency[a], a))
-    extra = [(a, terms(f"{a} {notes[a] or ''}")) for a in areas]
-    n = len(labels) + len(extra)
-    flat = pa.concat_arrays([flat, pa.array([w for _, ws in extra for w in ws], pa.string())])
-    row = np.concatenate([row, np.repeat(np.arange(len(labels), n), [len(ws) for _, ws in extra])]).astype(np.int64)
-    codes = flat.dictionary_encode()
-    names, code = codes.dictionary.to_pylist(), codes.indices.to_numpy()
-    y = np.array([[a in s for a in areas] for s in labels] + [[a == b for a in areas] for b, _ in extra], np.float32).reshape(n, len(areas))
-    pair = np.unique(row * max(1, len(names)) + code)
-    doc, term = pair // max(1, len(names)), pair % max(1, len(names))
-    df = np.bincount(term, minlength=len(names))
-    with_area = np.stack([np.bincount(term, weights=y[doc, j], minlength=len(names)) for j in range(len(areas))], 1) if len(areas) else np.zeros((len(names), 0))
-    expected = df[:, None] * y.mean(0)
-    score = ((with_area - expected) ** 2 / (expected + 1)).max(1) if len(areas) else df
-    least = 2 if n > 40 else 1
-    chosen = [i for i in np.argsort(-score, kind="stable") if df[i] >= least][:MAX_TERMS]
-    index = {names[i]: k for k, i in enumerate(chosen)}
-    place = np.full(len(names), -1)
-    place[chosen] = np.arange(len(chosen))
-    known = {s: i for i, s in enumerate(sorted(s for s, c in Counter(sources).items() if s and c >= 5)[:50])}
-    x = feature_rows(place[code], row, n, len(index), shape + [structure(notes[a] or "") for a, _ in extra], [known.get(s, -1) for s in sources] + [-1] * len(extra), len(known))
+    n = len(sample.labels)
+    y = np.array([[a in s for a in areas] for s in sample.labels], np.float32).reshape(n, len(areas))
+    known = {s: i for i, s in enumerate(sorted(s for s, c in Counter(sample.sources).items() if s and c >= 5))}
+    x = feature_rows(sample.row, sample.term, sample.count, n, len(names), sample.shape, [known.get(s, -1) for s in sample.sources], len(known))
+    index = {name: i for i, name in enumerate(names)}
     fold = np.arange(n) % FOLDS
 
     def held_out(target: np.ndarray) -> np.ndarray:
@@ -211,23 +207,65 @@ def _term_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def train(documents: DataFrame, labels: DataFrame, areas: DataFrame, max_labelled: int = MAX_LABELLED) -> Chain:
+def _counted(chosen: list[str]):
+    """Lists of terms as places in ``chosen`` with how often each occurs."""
+    index = {name: i for i, name in enumerate(chosen)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [Counter(index[w] for w in words if w in index) for words in batch.column("terms").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in ("place", "source", "shape", "areas")] + [pa.array([list(f.keys()) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))],
+                names=["place", "source", "shape", "areas", "terms", "counts"],
+            )
+
+    return run
+
+
+def train(documents: DataFrame, labels: DataFrame, areas: DataFrame, max_labelled: int = MAX_LABELLED, least_score: float = LEAST_SCORE) -> Chain:
     """Chain fitted on at most about ``max_labelled`` labelled documents, drawn by a hash of their id.
 
     Labels repeated by several labellers count once; labels of unknown areas or documents, and null ones, are ignored.
+    Each area's name and scope note count as a document of that area. The features are all terms of at least two of these
+    documents that are distributed over some area otherwise than by chance (squared deviation over expectation of at least
+    ``least_score``), and all sources of at least five.
+
+    Scale: terms are counted and chosen on the executors; the chosen terms, and how often each labelled document has
+    them, go to the driver. That is bounded by ``max_labelled``, whatever the number of documents.
     """
+    spark = documents.sparkSession
     notes = {r["area"]: r["scope_note"] for r in areas.where("area IS NOT NULL").select("area", "scope_note").limit(MAX_AREAS + 1).collect()}
     if len(notes) > MAX_AREAS:
         raise ValueError("the list of areas is not a small closed list")
-    by_document = labels.where("doc_id IS NOT NULL").where(F.col("area").isin(list(notes))).groupBy("doc_id").agg(F.collect_set("area").alias("areas"))
+    by_document = labels.where("doc_id IS NOT NULL").where(F.col("area").isin(list(notes))).groupBy("doc_id").agg(F.array_sort(F.collect_set("area")).alias("areas"))
     share = min(1.0, max_labelled / max(1, labels.select(F.count_distinct("doc_id")).first()[0]))
     drawn = by_document.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2**31)) / F.lit(float(2**31)) < share)
-    texts = documents.select("doc_id", "source", "text").join(F.broadcast(drawn.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rows = texts.mapInArrow(_term_lists, "doc_id long, source string, terms array<string>, shape array<double>").join(F.broadcast(drawn), "doc_id").orderBy(F.xxhash64(F.lit(9), "doc_id")).toArrow().combine_chunks()
-    column = lambda name: rows.column(name).chunk(0) if rows.num_rows else rows.column(name).combine_chunks()
-    lists = column("terms") if rows.num_rows else pa.array([], pa.list_(pa.string()))
-    lengths = lists.value_lengths().to_numpy(zero_copy_only=False) if rows.num_rows else np.zeros(0, np.int64)
-    return fit_chain(lists.flatten(), np.repeat(np.arange(rows.num_rows), lengths), rows.column("shape").to_pylist(), rows.column("source").to_pylist(), [set(a) for a in rows.column("areas").to_pylist()], notes)
+    last = documents.select("doc_id", "source", "text").join(F.broadcast(drawn.select("doc_id")), "doc_id", "left_semi")
+    texts = last.groupBy("doc_id").agg(F.max(F.struct("text", "source")).alias("r")).select("doc_id", "r.source", "r.text")
+    known = texts.mapInArrow(_term_lists, "doc_id long, source string, terms array<string>, shape array<double>").join(F.broadcast(drawn), "doc_id")
+    place = F.xxhash64(F.lit(9), "doc_id")
+    noted = [(2**63 - 1, "", terms(f"{a} {notes[a] or ''}"), list(map(float, structure(notes[a] or ""))), [a]) for a in notes]
+    extra = spark.createDataFrame(noted, "place long, source string, terms array<string>, shape array<double>, areas array<string>")
+    lists = cut_lineage(known.select(place.alias("place"), "source", "terms", "shape", "areas").unionByName(extra))
+
+    has = {a: F.count_if(F.array_contains("areas", a)) for a in notes}
+    sums = lists.agg(F.count(F.lit(1)).alias("n"), *[c.alias(f"a{i}") for i, c in enumerate(has.values())]).first()
+    total = max(1, sums["n"])
+    scored = lists.select("areas", F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), *[c.alias(f"a{i}") for i, c in enumerate(has.values())])
+    chance = [F.col("df") * F.lit(sums[f"a{i}"] / total) for i in range(len(has))]
+    away = [(F.col(f"a{i}") - e) ** 2 / (e + 1) for i, e in enumerate(chance)]
+    score = F.greatest(F.lit(0.0), F.lit(0.0), *away)
+    chosen = [r["term"] for r in scored.where((F.col("df") >= (2 if total > 40 else 1)) & (score >= least_score)).select("term").orderBy("term").collect()]
+
+    rows = lists.mapInArrow(_counted(chosen), "place long, source string, shape array<double>, areas array<string>, terms array<int>, counts array<int>").toArrow()
+    order = np.lexsort((np.array([",".join(a) for a in rows.column("areas").to_pylist()]), rows.column("place").to_numpy())) if rows.num_rows else np.zeros(0, np.int64)
+    rows = rows.take(pa.array(order)).combine_chunks()
+    column = lambda name: rows.column(name).combine_chunks()
+    flat = lambda name: np.asarray(column(name).flatten().to_numpy(zero_copy_only=False), np.int64)
+    lengths = column("terms").value_lengths().to_numpy(zero_copy_only=False) if rows.num_rows else np.zeros(0, np.int64)
+    sample = Sample(np.repeat(np.arange(rows.num_rows), lengths), flat("terms"), flat("counts"), column("shape").to_pylist(), column("source").to_pylist(), [set(a) for a in column("areas").to_pylist()])
+    frequency = {a: sums[f"a{i}"] for i, a in enumerate(has)}
+    return fit_chain(sample, chosen, sorted(notes, key=lambda a: (-frequency[a], a)))
 
 
 def assign_areas(documents: DataFrame, chain: Chain) -> DataFrame:
@@ -235,7 +273,7 @@ def assign_areas(documents: DataFrame, chain: Chain) -> DataFrame:
 
     Null texts and those of white space have none; a document without any known term may have
     none. Rows with the same doc_id give their areas once each. Scale: one narrow Arrow pass;
-    the chain (at most 3,000 terms by the number of areas) is broadcast.
+    the chain (its terms by the number of areas) is broadcast.
     """
     shared = documents.sparkSession.sparkContext.broadcast(chain)
 
