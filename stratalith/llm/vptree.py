@@ -9,7 +9,7 @@ far. Factor one restores exact search.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,9 @@ LEAF = 512
 SHARD_ROWS = 12_288
 SAMPLE_PER_SHARD = 64
 MAX_SAMPLE = 100_000
+HOST_SHARDS = 8
 SALT_ROWS = 131_072
+MAX_SHARDS = 100_000
 SLACK = 1e-5
 DIGITS = 12
 
@@ -309,6 +311,15 @@ class Shard:
             yield np.arange(lo, lo + counts[number]), self.extra_ids[self.extra_of == number]
 
 
+def _marks(wanted: np.ndarray) -> np.ndarray:
+    """Per query and host, the wanted shards of the host as bits."""
+    n, shards = wanted.shape
+    hosts = -(-shards // HOST_SHARDS)
+    padded = np.zeros((n, hosts * HOST_SHARDS), np.int64)
+    padded[:, :shards] = wanted
+    return padded.reshape(n, hosts, HOST_SHARDS) @ (1 << np.arange(HOST_SHARDS, dtype=np.int64))
+
+
 def _search_own(settings: Settings, routes: dict[str, Tree], salts: dict[str, int]):
     """Each shard against itself; of split groups also the visits to other shards that the bound doesn't rule out."""
 
@@ -329,10 +340,12 @@ def _search_own(settings: Settings, routes: dict[str, Tree], salts: dict[str, in
             if route is not None:
                 bounds = route.bounds(shard.points[rows]) * settings.factor <= reach(found.kth())[:, None]
                 bounds[:, number] = False
-                query, target = np.nonzero(bounds)
+                marks = _marks(bounds)
+                query, host = np.nonzero(marks)
                 if len(query):
                     vectors = [shard.raw[r].tobytes() for r in rows]
-                    yield _rows(VISIT, group, target, shard.ids[rows[query]], salt=pa.array((shard.ids[rows[query]] % salts[group]).astype(np.int32)), vector=pa.array([vectors[q] for q in query], pa.binary()), sim=pa.array(found.kth()[query]))
+                    salt = (shard.ids[rows[query]] % salts[group]).astype(np.int32)
+                    yield _rows(VISIT, group, host, shard.ids[rows[query]], copy=pa.array(marks[query, host]), salt=pa.array(salt), vector=pa.array([vectors[q] for q in query], pa.binary()), sim=pa.array(found.kth()[query]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, parts = None, []
@@ -352,7 +365,7 @@ def _search_own(settings: Settings, routes: dict[str, Tree], salts: dict[str, in
 
 
 def _hosts(settings: Settings, routes: dict[str, Tree], salts: dict[str, int]):
-    """Members of the groups that have several shards, once for each part that their visits are split in."""
+    """Members of the groups that have several shards, by host, once for each part that the host's visits are split in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _prepare(settings, routes)(batches):
@@ -360,48 +373,56 @@ def _hosts(settings: Settings, routes: dict[str, Tree], salts: dict[str, int]):
             whole = np.asarray(batch.column("vector").is_valid())
             for group in set(groups) & routes.keys():
                 mine = batch.filter(pa.array((groups == group) & whole))
+                shard = mine.column("shard").to_numpy()
                 for salt in range(salts[group]):
-                    yield _rows(RESULT, group, mine.column("shard").to_numpy(), mine.column("id").to_numpy(), salt=pa.array(np.full(mine.num_rows, salt, np.int32)), vector=mine.column("vector"))
+                    yield _rows(RESULT, group, shard // HOST_SHARDS, mine.column("id").to_numpy(), salt=pa.array(np.full(mine.num_rows, salt, np.int32)), copy=pa.array(shard.astype(np.int64) % HOST_SHARDS), vector=mine.column("vector"))
 
     return run
 
 
+def _visit(shards: dict[int, Shard], some: dict[str, pa.Array], settings: Settings) -> Iterator[tuple[np.ndarray, Found]]:
+    """What visiting queries find in the shards of one host, in blocks: (ids, found)."""
+    nothing = np.iinfo(np.int64).max
+    all_ids, points, limits, marks = some["id"].to_numpy(), unit(_decode(some["vector"], settings.dimension)), some["sim"].to_numpy(), some["copy"].to_numpy()
+    for lo in range(0, len(all_ids), 2048):
+        block = slice(lo, lo + 2048)
+        ids, found = all_ids[block], Found(len(all_ids[block]), settings.k)
+        found.sims[:, -1] = limits[block]
+        for number, shard in shards.items():
+            rows = np.flatnonzero(marks[block] >> number & 1)
+            if len(rows):
+                part = Found(len(rows), settings.k, found.sims[rows])
+                part.ids = found.ids[rows]
+                search(shard.tree, shard.narrow, shard.ids, points[block][rows], ids[rows], part, settings.factor)
+                found.sims[rows], found.ids[rows] = part.sims, part.ids
+        found.sims[found.ids == nothing] = -np.inf
+        hit = np.flatnonzero((found.ids != nothing).any(axis=1))
+        if len(hit):
+            kept = Found(len(hit), settings.k, found.sims[hit])
+            kept.ids = found.ids[hit]
+            yield ids[hit], kept
+
+
 def _search_visits(settings: Settings):
-    """Members come first in each run, then the visiting queries, which stream by."""
+    """Members of a host come first in each run, then the visiting queries, which stream by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, members, shard = None, [], None
-        for now, part in _shards(batches, ("id", "vector", "sim", "kind")):
+        key, members, shards = None, [], {}
+        for now, part in _shards(batches, ("id", "vector", "sim", "kind", "copy")):
             if now != key:
-                key, members, shard = now, [], None
+                key, members, shards = now, [], {}
             visiting = part["kind"].to_numpy() == VISIT
-            for is_visit in (False, True):
-                which = pa.array(visiting == is_visit)
-                some = {c: v.filter(which) for c, v in part.items()}
-                if not len(some["id"]):
-                    continue
-                if not is_visit:
-                    members.append(some)
-                    continue
-                if shard is None and members:
-                    shard = Shard(np.concatenate([m["id"].to_numpy() for m in members]), np.concatenate([_decode(m["vector"], settings.dimension) for m in members]), settings)
-                    members = []
-                if shard is None:
-                    continue
-                ids, points = some["id"].to_numpy(), unit(_decode(some["vector"], settings.dimension))
-                limit = some["sim"].to_numpy()
-                for lo in range(0, len(ids), 2048):
-                    block = slice(lo, lo + 2048)
-                    found = Found(len(ids[block]), settings.k)
-                    found.sims[:, -1] = limit[block]
-                    own = found.ids.copy()
-                    search(shard.tree, shard.narrow, shard.ids, points[block], ids[block], found, settings.factor)
-                    found.sims[found.ids == own] = -np.inf
-                    some_found = ~np.isneginf(found.sims).all(axis=1)
-                    kept = Found(int(some_found.sum()), settings.k)
-                    kept.sims, kept.ids = found.sims[some_found], found.ids[some_found]
-                    if len(kept.sims):
-                        yield _rows(RESULT, now[0], now[1], ids[block][some_found], near=_near(kept))
+            hosted, some = ({c: v.filter(pa.array(visiting == which)) for c, v in part.items()} for which in (False, True))
+            if len(hosted["id"]):
+                members.append(hosted)
+            if not len(some["id"]):
+                continue
+            if members:
+                ids, vectors = np.concatenate([m["id"].to_numpy() for m in members]), np.concatenate([_decode(m["vector"], settings.dimension) for m in members])
+                of = np.concatenate([m["copy"].to_numpy() for m in members])
+                shards, members = {int(n): Shard(ids[of == n], vectors[of == n], settings) for n in np.unique(of)}, []
+            for ids, found in _visit(shards, some, settings):
+                yield _rows(RESULT, now[0], now[1], ids, near=_near(found))
 
     return run
 
@@ -420,15 +441,18 @@ def nearest(vectors: DataFrame, group: str, key: str, vector: str, settings: Set
     Returns (group, key, near array<struct<neg: double, id: long>>) with neg = -cosine, best first.
 
     Scale: a group of over ``shard_rows`` vectors is split by a routing tree, fitted on a
-    bounded sample (64 vectors a shard, 100,000 in all) and broadcast (one vector a shard);
-    every vector is indexed. A query goes to another shard only if the bound doesn't rule it
-    out, with the k-th similarity found at home. Copies of one vector beyond the k + 1
+    bounded sample (64 vectors a shard, 100,000 in all) and broadcast (one vector a shard, of at most 100,000 shards:
+    with more vectors, shards grow); every vector is indexed. A query goes to another shard only if the bound doesn't rule it
+    out, with the k-th similarity found at home; eight shards are one host, to which a query goes once. Copies of one vector beyond the k + 1
     smallest keys can be nobody's neighbour: they travel without their vector, salted, and take
     the result of their first copies by a join.
     """
     spark = vectors.sparkSession
     source = vectors.select(F.col(group).cast("string").alias("group"), F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("embedding")).where("group IS NOT NULL AND id IS NOT NULL AND embedding IS NOT NULL")
     large = {r["group"]: r["count"] for r in source.groupBy("group").count().where(F.col("count") > settings.shard_rows).collect()}
+    while sum(large.values()) > settings.shard_rows * MAX_SHARDS // 2:
+        settings = replace(settings, shard_rows=settings.shard_rows * 2)
+        large = {g: n for g, n in large.items() if n > settings.shard_rows}
     routes = _routes(source, large, settings)
     salts = {g: max(1, n // SALT_ROWS) for g, n in large.items()}
     shared = spark.sparkContext.broadcast((routes, salts))
@@ -450,7 +474,7 @@ def nearest(vectors: DataFrame, group: str, key: str, vector: str, settings: Set
     if not routes:
         return _named(at_once, group, key)
     few = source.where(F.col("group").isin(list(routes))) if len(routes) <= PUSHED_GROUPS else source
-    columns = ("group", "shard", "salt", "kind", "id", "vector", "sim")
+    columns = ("group", "shard", "salt", "kind", "id", "copy", "vector", "sim")
     hosts = few.mapInArrow(lambda it: _hosts(settings, *shared.value)(it), _RESULT_DDL).select(*columns)
     visits = at_home.where(F.col("kind") == VISIT).select(*columns)
     away = (
