@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +16,11 @@ from stratalith.plans.lexer import placeholders
 from stratalith.plans.prompt import ddl_lines, ddl_stats
 from stratalith.queries.star import _id, star_artifact, star_policy, star_tables
 from stratalith.sources.artifact import frames, merge_marks, warnings
-from stratalith.sources.catalog import catalog_columns, folded_enums, folded_foreign_keys, folded_keys, matches_globs, read_frames, selected_tables
+from stratalith.sources.catalog import (
+    all_comments, catalog_columns, folded_enums, folded_foreign_keys, folded_indexes, folded_keys, is_system, matches_globs, namespaces, read_catalog, read_frames, selected_tables,
+)
 from stratalith.sources.tables import STAR_TABLES, table
+from stratalith.sources.templates import TEMPLATES
 
 
 def _engine(spark: SparkSession, folder: str) -> Engine:
@@ -142,6 +147,44 @@ def catalog_glob_filter(spark: SparkSession, folder: str) -> DataFrame:
     return names.where(matches_globs(F.col("table_name"), ["recipe_*", "*_item_1?"]))
 
 
+# What a harbour's catalog answers to the template of each part.
+_KEY = ["schema_name", "table_name", "constraint_name", "key_position", "column_name"]
+_RECORDED = {
+    "schemas": (["schema_name"], [["port"], ["pg_toast"]]),
+    "tables": (["schema_name", "table_name", "relkind", "row_level_security", "comment"], [
+        ["port", "vessels", "r", True, "Ships"], ["port", "berths", "p", False, None], ["port", "afloat", "v", False, ""], ["pg_toast", "chunk", "r", False, None], ["port", "ids", "S", False, None]]),
+    "columns": (["SCHEMA_NAME", "table_name", "column_name", "ordinal_position", "data_type", "udt_schema", "udt_name", "is_nullable", "default_expression", "comment"], [
+        ["port", "vessels", "flag", 2, "character(2)", "pg_catalog", "bpchar", False, None, None], ["port", "vessels", "hull_no", 1, "integer", "pg_catalog", "int4", False, None, "Painted on"],
+        ["port", "berths", "since", 1, "timestamp with time zone", "pg_catalog", "timestamptz", True, "now()", None], ["pg_toast", "chunk", "x", 1, "bytea", "pg_catalog", "bytea", True, None, None],
+        ["port", "afloat", "flag", 1, "character varying(2)", "pg_catalog", "varchar", True, None, None]]),
+    "primary_keys": (_KEY, [["port", "vessels", "pk", 2, "hull_no"], ["port", "vessels", "pk", 1, "flag"]]),
+    "foreign_keys": ([*_KEY, "referenced_schema_name", "referenced_table_name", "referenced_column_name", "on_delete_code", "on_update_code"], [["port", t, n, i, c, "port", rt, rc, a, None] for t, n, i, c, rt, rc, a in _FKS]),
+    "unique_constraints": (_KEY, [["port", "berths", "u", 1, "since"]]),
+    "check_constraints": (["schema_name", "table_name", "constraint_name", "expression"], [["port", "vessels", "c", "CHECK (hull_no > 0)"]]),
+    "indexes": (["schema_name", "table_name", "index_name", "is_unique", "method", "columns", "expressions"], [["port", "vessels", "i", False, "btree", '{flag,NULL,"a,b"}', "lower(flag)"]]),
+    "enums": (["schema_name", "enum_name", "enum_position", "enum_value"], [["port", "tide", 2, "ebb"], ["port", "tide", 1, "flood"]]),
+    "sequences": (["schema_name", "sequence_name", "data_type", "start_value", "minimum_value", "maximum_value", "increment", "cycle_option"], [["port", "ids", "bigint", "1", "1", "9", "1", False]]),
+    "views": (["schema_name", "view_name", "definition", "is_materialized"], [["port", "afloat", "select 1", False]]),
+    "comments": (["object_type", "schema_name", "table_name", "column_name", "comment"], [["schema", "port", None, None, "Harbour"]]),
+}
+
+
+def catalog_recorded(spark: SparkSession, folder: str) -> DataFrame:
+    """Every part of a catalog through its template and a runner that answers with recorded rows: one line a fact."""
+    asked = {query: part for part, query in TEMPLATES["postgres"].items()}
+    catalog = read_catalog(spark, "postgres", lambda query, parameters: _RECORDED[asked[query]])
+    columns = catalog_columns(catalog, selected_tables(catalog))
+    lines = [
+        selected_tables(catalog).select(F.lit("table"), F.concat_ws(" ", "table_name", "relkind")), columns.select(F.lit("column"), F.concat_ws(" ", "column_id", "type", F.when(F.col("primary_key"), "key"))),
+        folded_keys(catalog["primary_keys"]).select(F.lit("key"), F.array_join("columns", ",")), folded_keys(catalog["unique_constraints"]).select(F.lit("unique"), F.array_join("columns", ",")),
+        folded_foreign_keys(catalog["foreign_keys"]).select(F.lit("foreign"), F.concat_ws(" ", F.array_join("columns", ","), F.array_join("referenced_columns", ","), "on_delete")),
+        catalog["check_constraints"].select(F.lit("check"), F.col("expression")), folded_indexes(catalog["indexes"]).select(F.lit("index"), F.array_join("columns", "|", "?")), folded_enums(catalog["enums"]).select(F.lit("enum"), F.array_join("values", ",")),
+        catalog["sequences"].select(F.lit("sequence"), F.concat_ws(" ", "sequence_name", "maximum_value")), catalog["views"].select(F.lit("view"), F.col("definition")), all_comments(catalog).select(F.lit("comment"), F.concat_ws(" ", "object_type", "comment")),
+        namespaces(catalog).where(~is_system()).select(F.lit("schema"), F.col("schema_name")),
+    ]
+    return functools.reduce(DataFrame.unionAll, lines).toDF("part", "fact")
+
+
 def catalog_merge_marks(spark: SparkSession, folder: str) -> DataFrame:
     """Every schema's last delivered snapshot with the marks of the one delivered before, new columns flagged.
 
@@ -231,7 +274,7 @@ def sensitive_refs(spark: SparkSession, folder: str) -> DataFrame:
 
 _ALL = (
     tenant_scope_ids, tenant_scope_subtree, tenant_scope_multi_root, tenant_scope_join_path, tenant_scope_global, tenant_scope_filter, tenant_placeholder, tenant_subtree_ids, tenant_polymorphic, tenant_coverage,
-    policy_warnings, catalog_column_list, catalog_fk_fold, catalog_key_fold, catalog_enum_fold, catalog_glob_filter, catalog_merge_marks, catalog_orphans, registry_coverage, artifact_warnings, prompt_ddl_lines,
+    policy_warnings, catalog_column_list, catalog_recorded, catalog_fk_fold, catalog_key_fold, catalog_enum_fold, catalog_glob_filter, catalog_merge_marks, catalog_orphans, registry_coverage, artifact_warnings, prompt_ddl_lines,
     sensitive_redaction_stats, validator_verdicts, placeholder_scan, param_scalar_bind, param_list_bind, sensitive_refs,
 )
 
@@ -276,6 +319,10 @@ def oracle_sql() -> dict[str, str]:
             FROM information_schema.columns WHERE table_name IN ({_NAMES})""",
         "catalog_fk_fold": """SELECT * FROM (VALUES ('fk_vessel', 'flag,hull', 'flag,hull_no', 'cascade', NULL), ('fk_quay', 'port,quay', 'port,quay_no', 'no action', NULL))
             t(constraint_name, columns, referenced_columns, on_delete, on_update)""",
+        "catalog_recorded": """SELECT * FROM (VALUES ('table', 'vessels r'), ('table', 'berths p'), ('table', 'afloat v'), ('column', 'table:port.vessels#flag char(2) key'), ('column', 'table:port.vessels#hull_no integer key'),
+            ('column', 'table:port.berths#since timestamptz'), ('column', 'table:port.afloat#flag varchar(2)'), ('key', 'flag,hull_no'), ('unique', 'since'), ('foreign', 'flag,hull flag,hull_no cascade'),
+            ('foreign', 'port,quay port,quay_no no action'), ('check', 'CHECK (hull_no > 0)'), ('index', 'flag|?|a,b'), ('enum', 'flood,ebb'), ('sequence', 'ids 9'), ('view', 'select 1'),
+            ('comment', 'relation Ships'), ('comment', 'column Painted on'), ('comment', 'schema Harbour'), ('schema', 'port')) t(part, fact)""",
         "catalog_key_fold": """SELECT * FROM (VALUES ('table:public.region', 'r_regionkey'), ('table:public.nation', 'n_nationkey'), ('table:public.customer', 'c_custkey'), ('table:public.supplier', 's_suppkey'),
             ('table:public.part', 'p_partkey'), ('table:public.orders', 'o_orderkey'), ('table:public.lineitem', 'l_orderkey,l_linenumber'), ('table:public.events', 'event_id')) t(table_name, columns)""",
         "catalog_enum_fold": "SELECT 'tide' AS enum_name, 'slack,flood,crest,ebb' AS values",

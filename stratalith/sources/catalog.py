@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratalith.errors import ConnectorError
-from stratalith.functions.text import array_literal, column_id, matches_globs, referential_action, table_id
+from stratalith.functions.text import array_literal, column_id, matches_globs, referential_action, sqlserver_type, table_id
 from stratalith.functions.types import shorten_type
 from stratalith.operators.rejects import BOOLEANS, NULL_MARK
+from stratalith.sources.templates import ORDER, SQLITE_TABLES, SYSTEM_PREFIXES, SYSTEM_SCHEMAS, TEMPLATES
 
 _S, _I, _B = "string", "int", "boolean"
 # The row shapes of the catalog export, which other tools write.
@@ -39,59 +40,12 @@ ROWS: dict[str, dict[str, str]] = {
     "views": {"schema_name": _S, "view_name": _S, "definition": _S, "is_materialized": _B},
     "comments": {"object_type": _S, "schema_name": _S, "table_name": _S, "column_name": _S, "comment": _S},
 }
-# Namespaces that belong to the engine itself.
-SYSTEM_SCHEMAS = ("pg_catalog", "information_schema", "pg_toast", "sys", "guest", "INFORMATION_SCHEMA")
-SYSTEM_PREFIXES = ("pg_temp_", "pg_toast_temp_", "db_")
 VIEW_KINDS, TABLE_KINDS = ("v", "m"), ("r", "p")
 
-#: Catalog queries per engine, in the shapes of ROWS; the driver pushes each down as one JDBC query.
-TEMPLATES: dict[str, dict[str, str]] = {
-    "postgres": {
-        "tables": """select n.nspname as schema_name, c.relname as table_name, c.relkind::text as relkind, c.relrowsecurity as row_level_security, obj_description(c.oid, 'pg_class') as comment
-            from pg_class c join pg_namespace n on n.oid = c.relnamespace
-            where c.relkind in ('r', 'p', 'v', 'm') and not exists (select from pg_inherits i where i.inhrelid = c.oid and c.relispartition) order by 1, 2""",
-        "columns": """select n.nspname as schema_name, c.relname as table_name, a.attname as column_name, a.attnum::int as ordinal_position, format_type(a.atttypid, a.atttypmod) as data_type,
-            tn.nspname as udt_schema, t.typname as udt_name, not a.attnotnull as is_nullable, pg_get_expr(d.adbin, d.adrelid) as default_expression, col_description(c.oid, a.attnum) as comment
-            from pg_attribute a join pg_class c on c.oid = a.attrelid join pg_namespace n on n.oid = c.relnamespace join pg_type t on t.oid = a.atttypid join pg_namespace tn on tn.oid = t.typnamespace
-            left join pg_attrdef d on d.adrelid = a.attrelid and d.adnum = a.attnum where a.attnum > 0 and not a.attisdropped and c.relkind in ('r', 'p', 'v', 'm') order by 1, 2, 4""",
-        "primary_keys": """select n.nspname as schema_name, c.relname as table_name, k.conname as constraint_name, u.place::int as key_position, a.attname as column_name
-            from pg_constraint k join pg_class c on c.oid = k.conrelid join pg_namespace n on n.oid = c.relnamespace cross join lateral unnest(k.conkey) with ordinality u(num, place)
-            join pg_attribute a on a.attrelid = c.oid and a.attnum = u.num where k.contype = 'p' order by 1, 2, 3, 4""",
-        "foreign_keys": """select n.nspname as schema_name, c.relname as table_name, k.conname as constraint_name, u.place::int as key_position, a.attname as column_name, rn.nspname as referenced_schema_name,
-            r.relname as referenced_table_name, ra.attname as referenced_column_name, k.confdeltype::text as on_delete_code, k.confupdtype::text as on_update_code
-            from pg_constraint k join pg_class c on c.oid = k.conrelid join pg_namespace n on n.oid = c.relnamespace join pg_class r on r.oid = k.confrelid join pg_namespace rn on rn.oid = r.relnamespace
-            cross join lateral unnest(k.conkey, k.confkey) with ordinality u(num, rnum, place) join pg_attribute a on a.attrelid = c.oid and a.attnum = u.num
-            join pg_attribute ra on ra.attrelid = r.oid and ra.attnum = u.rnum where k.contype = 'f' order by 1, 2, 3, 4""",
-        "unique_constraints": """select n.nspname as schema_name, c.relname as table_name, k.conname as constraint_name, u.place::int as key_position, a.attname as column_name
-            from pg_constraint k join pg_class c on c.oid = k.conrelid join pg_namespace n on n.oid = c.relnamespace cross join lateral unnest(k.conkey) with ordinality u(num, place)
-            join pg_attribute a on a.attrelid = c.oid and a.attnum = u.num where k.contype = 'u' order by 1, 2, 3, 4""",
-        "check_constraints": """select n.nspname as schema_name, c.relname as table_name, k.conname as constraint_name, pg_get_constraintdef(k.oid) as expression
-            from pg_constraint k join pg_class c on c.oid = k.conrelid join pg_namespace n on n.oid = c.relnamespace where k.contype = 'c' order by 1, 2, 3""",
-        "indexes": """select n.nspname as schema_name, c.relname as table_name, x.relname as index_name, i.indisunique as is_unique, m.amname as method,
-            array(select a.attname::text from unnest(i.indkey) with ordinality u(num, place) left join pg_attribute a on a.attrelid = c.oid and a.attnum = u.num and u.num > 0 order by u.place)::text as columns,
-            pg_get_expr(i.indexprs, i.indrelid) as expressions
-            from pg_index i join pg_class c on c.oid = i.indrelid join pg_class x on x.oid = i.indexrelid join pg_namespace n on n.oid = c.relnamespace join pg_am m on m.oid = x.relam order by 1, 2, 3""",
-        "enums": """select n.nspname as schema_name, t.typname as enum_name, row_number() over (partition by t.oid order by e.enumsortorder)::int as enum_position, e.enumlabel as enum_value
-            from pg_enum e join pg_type t on t.oid = e.enumtypid join pg_namespace n on n.oid = t.typnamespace order by 1, 2, 3""",
-        "sequences": "select sequence_schema as schema_name, sequence_name, data_type, start_value, minimum_value, maximum_value, increment, cycle_option = 'YES' as cycle_option from information_schema.sequences order by 1, 2",
-        "views": "select schemaname as schema_name, viewname as view_name, definition, false as is_materialized from pg_views union all select schemaname, matviewname, definition, true from pg_matviews order by 1, 2",
-    },
-    "mysql": {
-        "tables": "select 'public' as schema_name, table_name as table_name, case table_type when 'VIEW' then 'v' else 'r' end as relkind, false as row_level_security, table_comment as comment from information_schema.tables where table_schema = database() order by 2",
-        "columns": "select 'public' as schema_name, table_name as table_name, column_name as column_name, ordinal_position as ordinal_position, column_type as data_type, '' as udt_schema, data_type as udt_name, is_nullable = 'YES' as is_nullable, column_default as default_expression, column_comment as comment from information_schema.columns where table_schema = database() order by 2, 4",
-        "primary_keys": "select 'public' as schema_name, table_name as table_name, constraint_name as constraint_name, ordinal_position as key_position, column_name as column_name from information_schema.key_column_usage where table_schema = database() and constraint_name = 'PRIMARY' order by 2, 4",
-        "foreign_keys": "select 'public' as schema_name, k.table_name as table_name, k.constraint_name as constraint_name, k.ordinal_position as key_position, k.column_name as column_name, 'public' as referenced_schema_name, k.referenced_table_name as referenced_table_name, k.referenced_column_name as referenced_column_name, r.delete_rule as on_delete_code, r.update_rule as on_update_code from information_schema.key_column_usage k join information_schema.referential_constraints r on r.constraint_schema = k.constraint_schema and r.constraint_name = k.constraint_name and r.table_name = k.table_name where k.table_schema = database() order by 2, 3, 4",
-    },
-    "sqlserver": {
-        "tables": "select s.name as schema_name, o.name as table_name, case o.type when 'V' then 'v' else 'r' end as relkind, cast(0 as bit) as row_level_security, cast(null as nvarchar(1)) as comment from sys.objects o join sys.schemas s on s.schema_id = o.schema_id where o.type in ('U', 'V')",
-        "columns": "select s.name as schema_name, o.name as table_name, c.name as column_name, c.column_id as ordinal_position, t.name as data_type, '' as udt_schema, t.name as udt_name, c.is_nullable as is_nullable, d.definition as default_expression, cast(null as nvarchar(1)) as comment, c.max_length as max_length, c.precision as precision_v, c.scale as scale from sys.columns c join sys.objects o on o.object_id = c.object_id join sys.schemas s on s.schema_id = o.schema_id join sys.types t on t.user_type_id = c.user_type_id left join sys.default_constraints d on d.object_id = c.default_object_id where o.type in ('U', 'V')",
-        "primary_keys": "select s.name as schema_name, o.name as table_name, k.name as constraint_name, i.key_ordinal as key_position, c.name as column_name from sys.key_constraints k join sys.index_columns i on i.object_id = k.parent_object_id and i.index_id = k.unique_index_id join sys.columns c on c.object_id = i.object_id and c.column_id = i.column_id join sys.objects o on o.object_id = k.parent_object_id join sys.schemas s on s.schema_id = o.schema_id where k.type = 'PK'",
-        "foreign_keys": "select s.name as schema_name, o.name as table_name, f.name as constraint_name, fc.constraint_column_id as key_position, c.name as column_name, rs.name as referenced_schema_name, ro.name as referenced_table_name, rc.name as referenced_column_name, f.delete_referential_action_desc as on_delete_code, f.update_referential_action_desc as on_update_code from sys.foreign_keys f join sys.foreign_key_columns fc on fc.constraint_object_id = f.object_id join sys.objects o on o.object_id = f.parent_object_id join sys.schemas s on s.schema_id = o.schema_id join sys.columns c on c.object_id = fc.parent_object_id and c.column_id = fc.parent_column_id join sys.objects ro on ro.object_id = f.referenced_object_id join sys.schemas rs on rs.schema_id = ro.schema_id join sys.columns rc on rc.object_id = fc.referenced_object_id and rc.column_id = fc.referenced_column_id",
-    },
-}
-TEMPLATES["cockroachdb"], TEMPLATES["mariadb"] = TEMPLATES["postgres"], TEMPLATES["mysql"]
 EXPORT_VERSION = 1
 REQUIRED = ("tables", "columns")
+# Statements that make a session read-only.
+READ_ONLY = {"postgres": "set session characteristics as transaction read only", "cockroachdb": "set session characteristics as transaction read only", "mysql": "set session transaction read only", "mariadb": "set session transaction read only"}
 
 Catalog = dict[str, DataFrame]
 
@@ -117,37 +71,72 @@ def shaped(df: DataFrame, part: str) -> DataFrame:
     return df.select(*[F.col(f"`{names[c]}`").cast(t).alias(c) for c, t in ROWS[part].items()])
 
 
-def read_jdbc(spark: SparkSession, engine: str, url: str, **options: str) -> Catalog:
-    """Catalog over JDBC, one pushed-down query a part, in read-only sessions."""
+Runner = Callable[[str, tuple], Any]
+
+
+def read_catalog(spark: SparkSession, engine: str, run: Runner) -> Catalog:
+    """Catalog of an engine through a runner (S13): a function of a query and its parameters that gives a frame, or (columns, rows).
+
+    Every part is sorted in Spark (O5). A part that the engine has no query for is empty.
+    """
     out = {}
-    for part in ROWS:
+    for part, shape in ROWS.items():
         query = TEMPLATES[engine].get(part)
         if query is None:
             out[part] = empty(spark, part)
             continue
-        reader = spark.read.format("jdbc").option("url", url).option("query", query.split(" order by ")[0]).options(**options)
-        if engine in ("postgres", "cockroachdb"):
-            reader = reader.option("sessionInitStatement", "set session characteristics as transaction read only")
-        out[part] = shaped(reader.load(), part)
+        found = run(query, ())
+        if not isinstance(found, DataFrame):
+            names, rows = found
+            if missing := [c for c in shape if c not in [n.lower() for n in names]]:
+                raise ConnectorError(f"{part} lacks {', '.join(missing)}", "MISSING_COLUMN")
+            found = spark.createDataFrame([tuple(r) for r in rows], T.StructType([T.StructField(n, T.StringType() if shape.get(n.lower(), _S) == _S else T.IntegerType() if shape[n.lower()] == _I else T.BooleanType()) for n in names]))
+        if engine == "sqlserver" and part == "columns" and "max_length" in [c.lower() for c in found.columns]:
+            found = found.withColumn("data_type", sqlserver_type(F.col("data_type"), *[F.col(c).cast("int") for c in ("max_length", "precision", "scale")]))
+        out[part] = shaped(found, part).orderBy(*ORDER[part])
     return out
 
 
+def jdbc_runner(spark: SparkSession, engine: str, url: str, **options: str) -> Runner:
+    """Runner over JDBC: each query is pushed down whole, in a read-only session where the engine has one."""
+
+    def run(query: str, params: tuple = ()) -> DataFrame:
+        reader = spark.read.format("jdbc").option("url", url).option("query", query).options(**options)
+        if engine in READ_ONLY:
+            reader = reader.option("sessionInitStatement", READ_ONLY[engine])
+        return reader.load()
+
+    return run
+
+
+def read_jdbc(spark: SparkSession, engine: str, url: str, **options: str) -> Catalog:
+    """Catalog over JDBC."""
+    return read_catalog(spark, engine, jdbc_runner(spark, engine, url, **options))
+
+
 def read_sqlite(spark: SparkSession, path: str) -> Catalog:
     """Catalog of an SQLite file, opened read-only (S10); keys without a name get one from their table."""
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-        tables = db.execute("select name, type from sqlite_master where type in ('table', 'view') and name not like 'sqlite\\_%' escape '\\' order by name").fetchall()
+        tables = db.execute(SQLITE_TABLES).fetchall()
         rows: dict[str, list[tuple]] = {part: [] for part in ROWS}
         rows["schemas"] = [("main",)]
-        for name, kind in tables:
+        for name, kind, body in tables:
             rows["tables"].append(("main", name, "v" if kind == "view" else "r", False, None))
+            if kind == "view":
+                rows["views"].append(("main", name, body, False))
             for cid, column, declared, notnull, default, pk in db.execute("select cid, name, type, \"notnull\", dflt_value, pk from pragma_table_info(?)", (name,)):
                 rows["columns"].append(("main", name, column, cid + 1, declared or "BLOB", "", declared or "", not notnull and not pk, default, None))
                 if pk:
                     rows["primary_keys"].append(("main", name, f"pk_{name}", pk, column))
             for number, seq, target, column, to, update, delete in db.execute("select id, seq, \"table\", \"from\", \"to\", on_update, on_delete from pragma_foreign_key_list(?)", (name,)):
                 rows["foreign_keys"].append(("main", name, f"fk_{name}_{number}", seq + 1, column, "main", target, to, delete, update))
-            for index, origin in db.execute("select name, origin from pragma_index_list(?) where origin = 'u'", (name,)).fetchall():
-                rows["unique_constraints"] += [("main", name, index, seq + 1, column) for seq, column in db.execute("select seqno, name from pragma_index_info(?)", (index,))]
+            for index, unique, origin in db.execute("select name, \"unique\", origin from pragma_index_list(?)", (name,)).fetchall():
+                columns = db.execute("select seqno, name from pragma_index_info(?) order by seqno", (index,)).fetchall()
+                if origin == "u":
+                    rows["unique_constraints"] += [("main", name, index, seq + 1, column) for seq, column in columns]
+                if origin == "c":
+                    sql = db.execute("select sql from sqlite_master where type = 'index' and name = ?", (index,)).fetchone()
+                    rows["indexes"].append(("main", name, index, bool(unique), "btree", _packed([c for _, c in columns]), sql[0] if sql and any(c is None for _, c in columns) else None))
     return {part: spark.createDataFrame(rows[part], ", ".join(f"{k} {v}" for k, v in ROWS[part].items())) for part in ROWS}
 
 
@@ -292,17 +281,21 @@ def all_comments(catalog: Catalog) -> DataFrame:
     return named.where("comment <> ''").groupBy("object_type", *_key("column_name")).agg(F.max("comment").alias("comment"))
 
 
-def is_system(schema: str = "schema_name"):
-    """Namespaces of the engine itself."""
-    out = F.col(schema).isin(*SYSTEM_SCHEMAS)
-    for prefix in SYSTEM_PREFIXES:
+def is_system(schema: str = "schema_name", engine: str = "postgres"):
+    """Namespaces of the engine itself, by their exact names (F5); other engines' names are users' own."""
+    out = F.col(schema).isin(*SYSTEM_SCHEMAS.get(_family(engine), ()))
+    for prefix in SYSTEM_PREFIXES.get(_family(engine), ()):
         out = out | F.col(schema).startswith(prefix)
     return out
 
 
-def selected_tables(catalog: Catalog, include: list[str] | None = None, exclude: list[str] | None = None, globs: list[str] | None = None, views: bool = True) -> DataFrame:
+def _family(engine: str) -> str:
+    return {"cockroachdb": "postgres", "mariadb": "mysql"}.get(engine, engine)
+
+
+def selected_tables(catalog: Catalog, include: list[str] | None = None, exclude: list[str] | None = None, globs: list[str] | None = None, views: bool = True, engine: str = "postgres") -> DataFrame:
     """Tables (and views) of the catalog that the filters leave."""
-    rows = catalog["tables"].where(~is_system())
+    rows = catalog["tables"].where(~is_system(engine=engine))
     if include:
         rows = rows.where(F.col("schema_name").isin(include))
     if exclude:
@@ -341,7 +334,7 @@ def to_artifact(catalog: Catalog, schema_id: str, provider: str | None = None, *
 
     The document of one database goes to the driver: it is the artifact itself.
     """
-    tables = selected_tables(catalog, **filters)
+    tables = selected_tables(catalog, **{"engine": provider if provider in TEMPLATES else "postgres"} | filters)
     columns = catalog_columns(catalog, tables)
     links = folded_foreign_keys(catalog["foreign_keys"]).select(
         table_id(F.col("schema_name"), F.col("table_name")).alias("table_id"), "constraint_name",

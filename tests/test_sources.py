@@ -1,6 +1,7 @@
 """Artifacts, catalogs, chunks, index, streams."""
 
 import json
+import re
 import sqlite3
 
 import pytest
@@ -231,3 +232,40 @@ def test_streams(spark, tmp_path):
     store = VectorStore(spark, str(tmp_path / "index"))
     index_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "chunks")), store, hashed_embedder(8), "h8", str(tmp_path / "c2")).awaitTermination()
     assert store.count() == 2 and SCHEMA
+
+
+def test_templates_are_whole_and_parts_have_an_order():
+    for engine, parts in cat.TEMPLATES.items():
+        assert set(parts) <= set(cat.ROWS) and {"tables", "columns", "primary_keys", "foreign_keys", "unique_constraints", "check_constraints", "indexes", "views"} <= set(parts)
+        for part, query in parts.items():
+            assert query.count("(") == query.count(")") and query.count("'") % 2 == 0 and ";" not in query, (engine, part)
+            assert set(cat.ROWS[part]) <= set(re.findall(r"[a-z_]+", query)), (engine, part)
+    assert set(cat.ORDER) == set(cat.ROWS) and all(set(cat.ORDER[p]) <= set(cat.ROWS[p]) for p in cat.ORDER)
+
+
+def test_system_schemas_by_engine(spark):
+    names = ["app", "db_app", "db_owner", "sys", "guest", "pg_toast_1", "pg_temp_3", "information_schema", "INFORMATION_SCHEMA"]
+    rows = spark.createDataFrame([(n,) for n in names], "schema_name string")
+    left = {e: {r[0] for r in rows.where(~cat.is_system(engine=e)).collect()} for e in ("postgres", "sqlserver", "mysql", "sqlite")}
+    assert left["postgres"] == {"app", "db_app", "db_owner", "sys", "guest", "INFORMATION_SCHEMA"} and left["mysql"] == left["sqlite"] == set(names)
+    assert left["sqlserver"] == {"app", "db_app", "pg_toast_1", "pg_temp_3", "information_schema"}
+
+
+def test_runner_gives_typed_and_sorted_parts(spark):
+    asked = {q: p for p, q in cat.TEMPLATES["sqlserver"].items()}
+    columns = ["schema_name", "table_name", "column_name", "ordinal_position", "data_type", "udt_schema", "udt_name", "is_nullable", "default_expression", "comment", "max_length", "precision", "scale"]
+    data = [["dbo", "t", "b", 2, "decimal", "", "decimal", True, None, None, "9", "12", "3"], ["dbo", "t", "a", 1, "nvarchar", "", "nvarchar", False, None, None, "40", "0", "0"]]
+    catalog = cat.read_catalog(spark, "sqlserver", lambda q, p: (columns, data) if asked[q] == "columns" else (list(cat.ROWS[asked[q]]), []))
+    assert [(r["column_name"], r["data_type"]) for r in catalog["columns"].collect()] == [("a", "nvarchar(20)"), ("b", "decimal(12,3)")] and catalog["enums"].count() == 0
+    with pytest.raises(ConnectorError, match="lacks"):
+        cat.read_catalog(spark, "mysql", lambda q, p: ([], []))
+
+
+def test_sqlite_indexes_and_views(spark, tmp_path):
+    path = str(tmp_path / "x.db")
+    with sqlite3.connect(path) as db:
+        db.executescript("create table t (a int, b text unique); create index i1 on t (b, a); create unique index i2 on t (lower(b)); create view v as select a from t;")
+    catalog = cat.read_sqlite(spark, path)
+    found = {r["index_name"]: (r["is_unique"], r["columns"], r["expressions"]) for r in cat.folded_indexes(catalog["indexes"]).collect()}
+    assert found["i1"] == (False, ["b", "a"], None) and found["i2"][:2] == (True, [None]) and "lower(b)" in found["i2"][2]
+    assert catalog["views"].first()["definition"].lower().startswith("create view v") and catalog["unique_constraints"].count() == 1
