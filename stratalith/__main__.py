@@ -34,6 +34,16 @@ def _parser() -> argparse.ArgumentParser:
         if name == "query":
             sub.add_argument("question")
             sub.add_argument("-k", type=int, default=8)
+    listed = commands.add_parser("templates", help="catalog queries of an engine")
+    listed.add_argument("engine")
+    listed.add_argument("part", nargs="?")
+    asked = commands.add_parser("ask", help="question to a checked statement and its rows")
+    asked.add_argument("folder")
+    asked.add_argument("data")
+    asked.add_argument("question")
+    asked.add_argument("--model", required=True, help="module:function of (system, prompt) that gives the reply")
+    asked.add_argument("--scope", help="JSON")
+    asked.add_argument("--sql-only", action="store_true")
     run = commands.add_parser("run", help="checked statement over a folder of Parquet tables")
     run.add_argument("folder")
     run.add_argument("data")
@@ -105,6 +115,11 @@ def main(argv: list[str] | None = None) -> int:
             else:
                 for row in retriever(store.read())(args.question, args.k).collect():
                     print(f"{row['score']:.4f} {row['id']}")
+        elif args.command == "templates":
+            from stratalith.sources.catalog import TEMPLATES, template
+
+            for part in [args.part] if args.part else TEMPLATES.get(args.engine, {}):
+                print(f"-- {part}\n{template(args.engine, part)};\n")
         else:
             from stratalith.plans.execute import Engine, envelope
             from stratalith.session import get_session
@@ -113,7 +128,19 @@ def main(argv: list[str] | None = None) -> int:
 
             spark, artifact = get_session(), load(args.folder)
             tables = {t["id"]: table(spark, args.data, t["name"]) for t in artifact.physical["tables"] if Path(args.data, f"{t['name']}.parquet").exists()}
-            answer = Engine(spark, artifact, tables).run(args.sql, json.loads(args.scope) if args.scope else None)
+            scope = json.loads(args.scope) if args.scope else None
+            if args.command == "ask":
+                import importlib
+
+                module, _, name = args.model.partition(":")
+                answer = Engine(spark, artifact, tables, model=getattr(importlib.import_module(module), name)).ask(args.question, scope)
+                print(answer.sql, file=sys.stdout if args.sql_only else sys.stderr)
+                for identifier in answer.sensitive:
+                    print(f"reads sensitive {identifier}", file=sys.stderr)
+                if args.sql_only:
+                    return 0
+            else:
+                answer = Engine(spark, artifact, tables).run(args.sql, scope)
             print(json.dumps(envelope(answer.frame), default=str))
     except EngineError as error:
         print(f"{error.code}: {error}", file=sys.stderr)

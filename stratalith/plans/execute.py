@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from stratalith.errors import EngineError, GenerationError, StatementError
 from stratalith.plans import tenant as tenancy
 from stratalith.plans.dialects import DIALECTS, Dialect
-from stratalith.plans.guard import explain, inspect, validate
+from stratalith.plans.guard import explain, inspect, sensitive_reads, validate
 from stratalith.plans.lexer import placeholders, same_statement, tenant_placeholders
 from stratalith.plans.logs import EventLog
 from stratalith.plans.parameters import Parameter, Prepared, bind, fence, parse_manifest, statement_of
@@ -24,7 +24,7 @@ MODES = ("schema_only", "bounded_results")
 ROW_CAP = 500
 RETRIEVAL_THRESHOLD = 30
 HISTORY_KEPT, HISTORY_SHOWN = 200, 50
-Model = Callable[[str, str], str]
+Model = Callable[[str, str], str | tuple[str, dict]]
 
 
 @dataclass
@@ -39,6 +39,7 @@ class Answer:
     explanation: Any = None
     findings: list[dict] = field(default_factory=list)
     notes: list[str] = field(default_factory=list)
+    sensitive: list[str] = field(default_factory=list)
 
 
 def envelope(frame: DataFrame, cap: int = ROW_CAP) -> dict[str, Any]:
@@ -58,12 +59,13 @@ class Engine:
     the scope's rows, in a session of their own in which nothing else can be named.
     """
 
-    def __init__(self, spark: SparkSession, artifact: Artifact, tables: Mapping[str, DataFrame], policy: tenancy.Policy | None = None, model: Model | None = None, dialect: str | None = None, log: EventLog | None = None, retriever: Callable[..., DataFrame] | None = None, chunk_count: int | None = None) -> None:
+    def __init__(self, spark: SparkSession, artifact: Artifact, tables: Mapping[str, DataFrame], policy: tenancy.Policy | None = None, model: Model | None = None, dialect: str | None = None, log: EventLog | None = None, retriever: Callable[..., DataFrame] | None = None, chunk_count: int | None = None, on_usage: Callable[[dict], None] | None = None, on_resolve: Callable[[Answer], None] | None = None) -> None:
         self.spark, self.artifact, self.tables, self.model = spark, artifact, dict(tables), model
         self.policy = policy or (tenancy.parse_policy(artifact.policy) if artifact.policy else None)
         self.dialect: Dialect = DIALECTS.get(dialect or "spark", DIALECTS["spark"])
         self.log = log
         self.retriever, self.chunk_count = retriever, chunk_count
+        self.on_usage, self.on_resolve = on_usage, on_resolve
         self.frames = frames(spark, artifact)
 
     def _say(self, event: str, **fields: Any) -> None:
@@ -108,7 +110,10 @@ class Engine:
         findings: list[dict] = []
         if self.policy is not None and checked is not None:
             findings = tenancy.enforce(tenancy.guard_findings(self.spark, text, self.policy, checked), self.policy)
-        return Answer(text, self._frame(text, positional, checked, reading.relations), explanation=explain(text), findings=findings)
+        sensitive = sensitive_reads(reading, self.artifact.physical["tables"])
+        if sensitive:
+            self._say("sensitive_columns_read", n=len(sensitive))
+        return Answer(text, self._frame(text, positional, checked, reading.relations), explanation=explain(text), findings=findings, sensitive=sensitive)
 
     def _frame(self, text: str, positional: list[Any], scope: tenancy.Scope | None, relations: tuple[str, ...]) -> DataFrame:
         session = self.spark.newSession()
@@ -153,7 +158,8 @@ class Engine:
         if self.policy is not None and checked is None:
             raise EngineError("unreachable without a scope", "MISSING_SCOPE")
         check_inputs(question, len(self.artifact.physical["tables"]))
-        notes = ambiguity_notes(question, [t["name"] for t in self.artifact.physical["tables"]])
+        named_tables = self.artifact.physical["tables"]
+        notes = ambiguity_notes(question, [t["name"] for t in named_tables], [c["name"] for t in named_tables for c in t["columns"]])
         tenants = tenancy.describe_policy(self.policy, checked) if self.policy and checked else None
         if generator is not None:
             reply = f"```sql\n{generator(question, self.dialect.id)}\n```"
@@ -166,6 +172,10 @@ class Engine:
                 reply = self.model("You write SQL.", prompt)
             except Exception as error:  # noqa: BLE001 - a model fails in its own ways
                 raise GenerationError(f"the model failed: {type(error).__name__}", "MODEL_FAILED") from error
+            if not isinstance(reply, str):  # a reply with what it took
+                reply, usage = reply
+                if self.on_usage:
+                    self.on_usage(usage)
         sql = statement_of(reply)
         if sql is None:
             raise StatementError("the reply has no statement", "SQL_EMPTY")
@@ -179,6 +189,8 @@ class Engine:
             answer = self.run(sql, checked or scope)
         answer.notes = notes
         self._say("run_finished", findings=len(answer.findings))
+        if self.on_resolve:
+            self.on_resolve(answer)
         return answer
 
     def _extras(self, reply: str, sql: str) -> tuple[str | None, tuple[Parameter, ...], Prepared | None]:

@@ -93,6 +93,8 @@ class Reading:
 
     relations: tuple[str, ...]
     functions: tuple[str, ...]
+    attributes: tuple[tuple[str, ...], ...] = ()
+    all_columns: bool = False
 
 
 def _walk(plan, seen: list) -> None:
@@ -137,7 +139,7 @@ def inspect(spark: SparkSession, sql: str) -> Reading:
     seen: list = []
     _walk(plan, seen)
     shadowed = {name.lower() for kind, name in seen if kind == "cte"}
-    relations, functions = [], []
+    relations, functions, attributes, everything = [], [], [], False
     for kind, node in seen:
         if kind == "cte":
             continue
@@ -150,6 +152,12 @@ def inspect(spark: SparkSession, sql: str) -> Reading:
                 relation = ".".join(str(parts.apply(i)) for i in range(parts.size()))
                 if relation.lower() not in shadowed:
                     relations.append(relation)
+            if name == "Join" and node.joinType().getClass().getSimpleName() in ("UsingJoin", "NaturalJoin"):
+                if node.joinType().getClass().getSimpleName() == "NaturalJoin":
+                    everything = True
+                else:
+                    using = node.joinType().usingColumns()
+                    attributes += [(str(using.apply(i)),) for i in range(using.size())]
             if name == "UnresolvedTableValuedFunction":
                 parts = node.name()
                 function = ".".join(str(parts.apply(i)) for i in range(parts.size())).lower()
@@ -163,4 +171,26 @@ def inspect(spark: SparkSession, sql: str) -> Reading:
             if function in BANNED_FUNCTIONS or parts.size() > 1:
                 raise StatementError(f"function {function} isn't allowed", "PLAN_FUNCTION")
             functions.append(function)
-    return Reading(tuple(dict.fromkeys(relations)), tuple(dict.fromkeys(functions)))
+        elif name == "UnresolvedAttribute":
+            parts = node.nameParts()
+            attributes.append(tuple(str(parts.apply(i)) for i in range(parts.size())))
+        elif name.startswith("UnresolvedStar"):
+            everything = True
+    return Reading(tuple(dict.fromkeys(relations)), tuple(dict.fromkeys(functions)), tuple(dict.fromkeys(attributes)), everything)
+
+
+def sensitive_reads(reading: Reading, tables: list[dict]) -> list[str]:
+    """Ids of the sensitive columns that a statement names, or takes by a star, of the relations it reads.
+
+    ``tables`` are those of a schema document. Names are compared without case, and with the table where a name is
+    qualified by a table's own name; text in quotes and comments doesn't count. What an alias hides counts.
+    """
+    read = {r.split(".")[-1].lower() for r in reading.relations}
+    own = {t["name"].lower() for t in tables}
+    named = {(a[-2].lower() if len(a) > 1 and a[-2].lower() in own else None, part.lower()) for a in reading.attributes for part in a[-1:]}
+    named |= {(None, part.lower()) for a in reading.attributes for part in a[:-1]}  # a column whose field is read
+    out = []
+    for t in tables:
+        if t["name"].lower() in read:
+            out += [c["id"] for c in t["columns"] if (t.get("sensitive") or c.get("sensitive")) and (reading.all_columns or {(None, c["name"].lower()), (t["name"].lower(), c["name"].lower())} & named)]
+    return out

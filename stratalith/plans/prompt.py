@@ -12,8 +12,8 @@ from stratalith.errors import GenerationError
 from stratalith.functions.text import table_of
 from stratalith.plans.dialects import Dialect
 
-WITHHELD_TABLE = "  (sensitive table — column definitions withheld from model context)"
-WITHHELD_COLUMNS = "  (all columns marked sensitive — definitions withheld from model context)"
+HIDDEN_TABLE = "  [this table's columns are not shown: it is sensitive]"
+HIDDEN_COLUMNS = "  [no column of this table may be shown]"
 
 
 def ddl_lines(tables: DataFrame, columns: DataFrame, omit: bool = False, only: DataFrame | None = None) -> DataFrame:
@@ -40,8 +40,8 @@ def ddl_lines(tables: DataFrame, columns: DataFrame, omit: bool = False, only: D
     ]
     if omit:
         visible = shown.select("table_position").distinct()
-        rows.append(t.where("table_sensitive").select("table_position", F.lit(2), F.lit(WITHHELD_TABLE)))
-        rows.append(t.where("NOT table_sensitive").join(visible, "table_position", "left_anti").select("table_position", F.lit(2), F.lit(WITHHELD_COLUMNS)))
+        rows.append(t.where("table_sensitive").select("table_position", F.lit(2), F.lit(HIDDEN_TABLE)))
+        rows.append(t.where("NOT table_sensitive").join(visible, "table_position", "left_anti").select("table_position", F.lit(2), F.lit(HIDDEN_COLUMNS)))
     language = t.where(~F.col("table_sensitive") & (F.col("common_query_language") != ""))
     rows.append(language.select("table_position", F.lit(1_000_000), F.lit("-- common query language --")))
     rows.append(language.select("table_position", F.posexplode(F.split("common_query_language", "\n")).alias("n", "x")).select("table_position", F.col("n") + 1_000_001, F.concat(F.lit("-- "), "x")))
@@ -88,14 +88,28 @@ def check_inputs(question: str | None, n_tables: int) -> None:
         raise GenerationError("the question is blank", "NO_QUESTION")
 
 
-def ambiguity_notes(question: str, tables: Iterable[str]) -> list[str]:
-    """Notes on a question that doesn't fit the schema."""
-    known = {t.lower() for t in tables}
+def _words(text: str) -> set[str]:
+    """Lower-case words of a text; of a name with underscores also its parts, each with and without a last s."""
+    found = re.findall(r"[^\W_]+(?:_[^\W_]+)*", text.lower())
+    parts = {p for w in found for p in (w, *w.split("_"))}
+    return parts | {p[:-1] for p in parts if len(p) > 3 and p.endswith("s")}
+
+
+def ambiguity_notes(question: str, tables: Iterable[str], columns: Iterable[str] = ()) -> list[str]:
+    """Notes on a question that doesn't fit the schema (P3), by the tables that it names.
+
+    A question that names none of several tables is told which there are; with a single table the model is told that
+    nothing else can be combined with it; an identifier with underscores or in quotes that is neither table nor column is pointed out.
+    """
+    known = sorted({t.lower() for t in tables})
+    said, fields = _words(question), {c.lower() for c in columns}
     out = []
-    if len(known) == 1 and re.search(r"(?i)\b(joins?|joined|together with|along with|versus|vs\.?|compare|both tables|each other|relationship between|how they relate)\b", question):
-        out.append(f"There is only one table, {next(iter(known))}; join no others.")
-    named = dict.fromkeys(m.lower() for m in re.findall(r"(?i)\b(?:from|join)\s+(?:the\s+)?[\"`]?([a-z_][a-z0-9_]*)", question))
-    out += [f"The question names {n}, which isn't a table; there are {', '.join(sorted(known))}." for n in named if n not in known]
+    if len(known) == 1:
+        out.append(f"{known[0]} is the only table: combine it with no other.")
+    elif known and not any(_words(t) & said for t in known):
+        out.append(f"The question names none of the tables {', '.join(known)}: choose by their columns.")
+    quoted = re.findall(r"[\"`]([^\W\d]\w*)[\"`]", question) + re.findall(r"\b[^\W\d_]+(?:_[^\W_]+)+\b", question)
+    out += [f"{n} is no table here; there are {', '.join(known)}." for n in dict.fromkeys(q.lower() for q in quoted) if n not in known and n not in fields]
     return out
 
 

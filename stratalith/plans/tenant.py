@@ -312,10 +312,11 @@ def descendants(edges: DataFrame, start: DataFrame, levels: int | None = None) -
             reached = cut_lineage(reached)
 
 
-def _condition(column: Column, operator: str, value: Any) -> Column:
-    values = [F.lit(v) for v in (value if isinstance(value, (list, tuple)) else [value])]
-    inside = column.cast("string").isin(values)
-    return inside if operator in ("=", "IN") else ~inside
+def _condition(rows: DataFrame, name: str, operator: str, value: Any) -> Column:
+    """The values take the column's type, so that the filter reaches the scan; one that can't equals nothing. Null columns pass no filter."""
+    column, kind = F.col(name), rows.schema[name].dataType
+    inside = column.isin([F.lit(v).try_cast(kind) for v in (value if isinstance(value, (list, tuple)) else [value])])
+    return inside if operator in ("=", "IN") else column.isNotNull() & ~F.coalesce(inside, F.lit(False))
 
 
 def scoped_table(identifier: str, policy: Policy, scope: Scope, ids: Mapping[str, DataFrame], read: Read) -> DataFrame:
@@ -353,15 +354,16 @@ def scoped_table(identifier: str, policy: Policy, scope: Scope, ids: Mapping[str
             out = rows.where("false")
         else:
             pairs = None
+            kinds = {c: rows.schema[column_name(c)].dataType for c in (spec.type_column, spec.id_column)}
             for value, allowed in parts:
-                one = allowed.select(F.lit(value).alias("_type"), F.col("id").cast("string").alias("_id"))
+                one = allowed.select(F.lit(value).try_cast(kinds[spec.type_column]).alias("_type"), F.col("id").try_cast(kinds[spec.id_column]).alias("_id"))
                 pairs = one if pairs is None else pairs.unionAll(one)
-            on = (rows[column_name(spec.type_column)] == pairs["_type"]) & (rows[column_name(spec.id_column)].cast("string") == pairs["_id"])
+            on = (rows[column_name(spec.type_column)] == pairs["_type"]) & (rows[column_name(spec.id_column)] == pairs["_id"])
             out = rows.join(pairs, on, "left_semi")
     else:
         out = rows.where("false")
     for column, operator, value in scope.filters.get(identifier, ()):
-        out = out.where(_condition(F.col(column_name(column)), operator, value))
+        out = out.where(_condition(out, column_name(column), operator, value))
     return out
 
 

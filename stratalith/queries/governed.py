@@ -85,6 +85,25 @@ def tenant_subtree_ids(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 
+def tenant_self_subtree(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders below one customer in a hierarchy that refers to itself: each customer hangs on the one with a third of its number."""
+    customers = table(spark, folder, "customer").select("c_custkey", F.floor(F.col("c_custkey") / 3).alias("above"))
+    root = {"id": _id("customer"), "tenantIdColumn": _id("customer", "c_custkey"), "label": "Customer", "parent": {"root": _id("customer"), "foreignKey": _id("customer", "above")}}
+    scoped = [{"id": _id("orders"), "scopeThrough": [{"root": _id("customer"), "column": _id("orders", "o_custkey")}]}]
+    policy = tenancy.parse_policy({"schemaId": "star", "enforcement": "strict", "roots": [root], "scopedTables": scoped})
+    read = {_id("customer"): customers, _id("orders"): table(spark, folder, "orders")}.__getitem__
+    scope = tenancy.parse_scope(_subtree("customer", "2"), policy)
+    rows = tenancy.scoped_table(_id("orders"), policy, scope, tenancy.allowed_ids(policy, scope, read), read)
+    return rows.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n_orders"), F.count_distinct("o_custkey").alias("n_customers"))
+
+
+def tenant_typed_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Filters on numbers, given as texts and numbers, one of which is none."""
+    scope = {"access": {"kind": "global", "reason": "audit"}, "tenantFilters": {_id("orders"): {"conditions": [
+        {"column": _id("orders", "o_custkey"), "operator": "IN", "value": ["1", 2, 4.0, "x"]}, {"column": _id("orders", "o_orderkey"), "operator": "NOT IN", "value": ["y", 7]}]}}}
+    return _engine(spark, folder).run(_BY_STATUS, scope).frame
+
+
 def tenant_polymorphic(spark: SparkSession, folder: str) -> DataFrame:
     """Events of the customers and nations that a scope reaches, by their type."""
     policy = tenancy.parse_policy(star_policy())
@@ -273,7 +292,7 @@ def sensitive_refs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _ALL = (
-    tenant_scope_ids, tenant_scope_subtree, tenant_scope_multi_root, tenant_scope_join_path, tenant_scope_global, tenant_scope_filter, tenant_placeholder, tenant_subtree_ids, tenant_polymorphic, tenant_coverage,
+    tenant_scope_ids, tenant_scope_subtree, tenant_scope_multi_root, tenant_scope_join_path, tenant_scope_global, tenant_scope_filter, tenant_typed_filter, tenant_placeholder, tenant_subtree_ids, tenant_self_subtree, tenant_polymorphic, tenant_coverage,
     policy_warnings, catalog_column_list, catalog_recorded, catalog_fk_fold, catalog_key_fold, catalog_enum_fold, catalog_glob_filter, catalog_merge_marks, catalog_orphans, registry_coverage, artifact_warnings, prompt_ddl_lines,
     sensitive_redaction_stats, validator_verdicts, placeholder_scan, param_scalar_bind, param_list_bind, sensitive_refs,
 )
@@ -307,6 +326,9 @@ def oracle_sql() -> dict[str, str]:
         "tenant_subtree_ids": """WITH n AS (SELECT n_nationkey FROM nation WHERE n_regionkey IN (0, 3))
             SELECT 'region' AS root, r_regionkey::BIGINT AS id FROM region WHERE r_regionkey IN (0, 3)
             UNION ALL SELECT 'nation', n_nationkey::BIGINT FROM n UNION ALL SELECT 'customer', c_custkey FROM customer WHERE c_nationkey IN (SELECT * FROM n)""",
+        "tenant_self_subtree": """WITH RECURSIVE below AS (SELECT 2::BIGINT AS id UNION SELECT c.c_custkey FROM customer c JOIN below b ON c.c_custkey // 3 = b.id)
+            SELECT o_orderstatus, count(*) AS n_orders, count(DISTINCT o_custkey) AS n_customers FROM orders WHERE o_custkey IN (SELECT id FROM below) GROUP BY 1""",
+        "tenant_typed_filter": _status("o_custkey IN (1, 2, 4) AND o_orderkey <> 7"),
         "tenant_polymorphic": """WITH n AS (SELECT n_nationkey FROM nation WHERE n_regionkey = 1), c AS (SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT * FROM n))
             SELECT event_type, count(*) AS n_events, round(sum(value), 4) AS total FROM events
             WHERE (event_type IN ('purchase', 'click') AND user_id IN (SELECT * FROM c)) OR (event_type = 'view' AND user_id IN (SELECT * FROM n)) GROUP BY 1""",

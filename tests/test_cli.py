@@ -43,3 +43,20 @@ def test_index_holds_concepts_policy_and_relationships(spark, tmp_path, capsys):
     (star / "tenant-policy.md").write_text("---\nschemaId: star\n---\nOrders follow their customer.\n")
     assert main(["index", str(star), index, "--relationships"]) == 0 and told() == {"chunk:concept:revenue", "chunk:tenant-policy#body"}
     assert sum("->" in r["id"] for r in VectorStore(spark, index).read().collect()) == 5
+
+
+def reply(system, prompt):
+    """A model that always says the same."""
+    return "```sql\nselect c_mktsegment, count(*) as n from customer where c_acctbal > 0 group by c_mktsegment\n```"
+
+
+def test_ask_and_templates(spark, tmp_path, capsys):
+    star = tmp_path / "star"
+    star.mkdir()
+    (star / "schema.json").write_text(to_json(star_artifact().physical))
+    question = ["ask", str(star), SMALL, "How many customers by segment?", "--model", "test_cli:reply"]
+    assert main(question) == 0
+    told = capsys.readouterr()
+    assert len(json.loads(told.out)["rows"]) == 5 and "reads sensitive table:public.customer#c_acctbal" in told.err
+    assert main([*question, "--sql-only"]) == 0 and "select c_mktsegment" in capsys.readouterr().out
+    assert main(["templates", "mysql", "views"]) == 0 and "view_definition" in capsys.readouterr().out and main(["templates", "none", "views"]) == 1

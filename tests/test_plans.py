@@ -295,3 +295,14 @@ def test_descendants_have_no_last_level(spark):
     assert tenancy.descendants(edges, start).count() == 91
     with pytest.raises(ScopeError):
         tenancy.descendants(edges, start, 5)
+
+
+def test_sensitive_columns_of_a_statement(spark):
+    from stratalith.plans.guard import inspect, sensitive_reads
+
+    tables = star_artifact().physical["tables"]
+    reads = lambda sql: [i.split("#")[1] for i in sensitive_reads(inspect(spark, sql), tables)]
+    assert reads("select c_custkey, 'c_name' from customer") == [] and reads("select C_NAME from customer") == ["c_name"]
+    assert reads("select * from customer") == ["c_name", "c_acctbal"] and reads("select count(*) from customer") == []
+    assert reads("with x as (select c_acctbal as b from customer) select b from x") == ["c_acctbal"] and reads("select o_orderkey from orders where exists (select 1 from customer c where c.c_name = 'x')") == ["c_name"]
+    assert reads("select s_suppkey from supplier") == ["s_suppkey"] and reads("select part.p_name, c_custkey from part, customer") == [] and reads("select 1 from customer a join customer b using (c_name)") == ["c_name"]

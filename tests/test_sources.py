@@ -214,7 +214,7 @@ def test_prompt_text(spark):
     found = art.frames(spark, star_artifact())
     text = ddl_text(ddl_lines(found["tables"], found["columns"]))
     assert "TABLE public.orders -- aliases: purchases" in text and "c_acctbal double (NULL) (sensitive)" in text and "events" not in text
-    assert "withheld" in ddl_text(ddl_lines(found["tables"], found["columns"], omit=True))
+    assert "not shown" in ddl_text(ddl_lines(found["tables"], found["columns"], omit=True))
 
 
 def test_streams(spark, tmp_path):
