@@ -77,13 +77,14 @@ def build_chunks(
     secret = columns.where("sensitive").groupBy("table_id").agg(F.collect_set("name").alias("secret_names"))
     live = live.join(secret, "table_id", "left")
     cols = columns.join(live.select("table_id", F.col("schema").alias("t_schema"), F.col("name").alias("t_name"), F.col("sensitive").alias("t_sensitive")), "table_id")
-    hidden_columns = columns.where("sensitive").select(F.col("column_id").alias("_id")).unionAll(tables.where("sensitive").select(F.col("table_id").alias("_id"))).distinct()
-    dead_tables = tables.where(~F.coalesce("tracked", F.lit(True))).select(F.col("table_id").alias("_id"))
+    hidden_columns = columns.where("sensitive").select("schema_id", F.col("column_id").alias("_id")).unionAll(tables.where("sensitive").select("schema_id", F.col("table_id").alias("_id"))).distinct()
+    dead_tables = tables.where(~F.coalesce("tracked", F.lit(True))).select("schema_id", F.col("table_id").alias("_id"))
 
-    sound = links.join(dead_tables, table_of(F.col("from_id")) == F.col("_id"), "left_anti").join(dead_tables, table_of(F.col("to_id")) == F.col("_id"), "left_anti")
+    dead, hidden = dead_tables.select("_id"), hidden_columns.select("_id")
+    sound = links.join(dead, table_of(F.col("from_id")) == F.col("_id"), "left_anti").join(dead, table_of(F.col("to_id")) == F.col("_id"), "left_anti")
     shown = sound
     if not include_sensitive:
-        shown = sound.join(hidden_columns, F.col("from_id") == F.col("_id"), "left_anti").join(hidden_columns, F.col("to_id") == F.col("_id"), "left_anti")
+        shown = sound.join(hidden, F.col("from_id") == F.col("_id"), "left_anti").join(hidden, F.col("to_id") == F.col("_id"), "left_anti")
     link_lines = shown.groupBy("table_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("position", F.concat(F.lit("- "), "from_id", F.lit(" -> "), "to_id").alias("line")))), lambda x: x["line"]).alias("link_lines"))
     any_link = links.select("table_id").distinct().withColumn("_linked", F.lit(True))
     described = F.when(~F.col("sensitive") & ~F.col("t_sensitive") & F.col("description").isNotNull() & (F.col("description") != ""), F.concat(F.lit(" — "), "description")).otherwise("")
@@ -123,7 +124,7 @@ def build_chunks(
 
     if relationships:
         ends = tables.select("table_id", name.alias("full"), "sensitive")
-        marks = hidden_columns.withColumn("_hit", F.lit(True))
+        marks = hidden.withColumn("_hit", F.lit(True))
         joined = (
             sound.join(ends.toDF("_ft", "_fn", "_fs"), table_of(F.col("from_id")) == F.col("_ft"), "left").join(ends.toDF("_tt", "_tn", "_ts"), table_of(F.col("to_id")) == F.col("_tt"), "left")
             .join(marks.toDF("_f", "_fh"), F.col("from_id") == F.col("_f"), "left").join(marks.toDF("_t", "_th"), F.col("to_id") == F.col("_t"), "left")
@@ -133,10 +134,12 @@ def build_chunks(
         out = out.unionByName(joined.where(~hides | keep).join(live.select("table_id"), "table_id", "left_semi").select(*_chunk(
             F.concat("from_id", F.lit("->"), "to_id"), "relationship", text, F.array(table_of(F.col("from_id")), table_of(F.col("to_id")), F.col("from_id"), F.col("to_id")), hides)))
     if concepts is not None:
-        secret_all = columns.where("sensitive").agg(F.coalesce(F.collect_set("name"), F.array().cast("array<string>")).alias("_secret"))
-        hidden_all = hidden_columns.agg(F.collect_set("_id").alias("_hidden"))
-        dead_all = dead_tables.agg(F.collect_set("_id").alias("_dead"))
-        known = concepts.join(F.broadcast(secret_all), F.lit(True)).join(F.broadcast(hidden_all), F.lit(True)).join(F.broadcast(dead_all), F.lit(True))
+        secret_of = columns.where("sensitive").groupBy("schema_id").agg(F.collect_set("name").alias("_secret"))
+        hidden_of = hidden_columns.groupBy("schema_id").agg(F.collect_set("_id").alias("_hidden"))
+        dead_of = dead_tables.groupBy("schema_id").agg(F.collect_set("_id").alias("_dead"))
+        known = concepts.join(secret_of, "schema_id", "left").join(hidden_of, "schema_id", "left").join(dead_of, "schema_id", "left")
+        none = F.array().cast("array<string>")
+        known = known.withColumns({c: F.coalesce(c, none) for c in ("_secret", "_hidden", "_dead")})
         known = known.withColumn("_links", F.filter("links", lambda x: ~F.array_contains("_dead", table_of(x)))).withColumn("_told", mentions_any(F.col("description"), F.col("_secret")))
         known = known.withColumn("_hides", F.arrays_overlap("_links", "_hidden") | F.col("_told"))
         out = out.unionByName(known.where(~F.coalesce("_hides", F.lit(False)) | keep).select(*_chunk(

@@ -39,13 +39,20 @@ def batch_embedder(embed: Callable[[list[str]], list[list[float]]], batch: int =
     return lambda chunks: chunks.withColumn("embedding", run("text"))
 
 
+def _single(chunks: DataFrame) -> DataFrame:
+    """One row an id of a schema: of several the one with the greatest text, then type, whatever order they come in."""
+    others = [c for c in chunks.columns if c not in ("schema_id", "id")]
+    order = F.struct("text", "type", F.coalesce("sensitive", F.lit(False)), F.array_join("refs", "\u0000"))
+    return chunks.groupBy("schema_id", "id").agg(F.max_by(F.struct(*others), order).alias("_row")).select("schema_id", "id", *[F.col(f"_row.{c}") for c in others])
+
+
 def compare(chunks: DataFrame, index: DataFrame, embedder_id: str) -> DataFrame:
     """(schema_id, id, state) with state reuse, new, changed or orphan.
 
     Ids are compared within their schema, so indexing one schema leaves others alone; an entry of another
-    embedder or without a vector counts as changed. Several chunks of one id count as one.
+    embedder or without a vector counts as changed. Several chunks of one id count as one, that with the greatest text.
     """
-    now = chunks.select("schema_id", "id", content_hash(F.col("text")).alias("hash")).dropDuplicates(["schema_id", "id"])
+    now = chunks.groupBy("schema_id", "id").agg(content_hash(F.max("text")).alias("hash"))
     schemas = now.select("schema_id").distinct()
     then = index.join(schemas, "schema_id", "left_semi").select("schema_id", "id", F.col("hash").alias("old"), (F.col("embedder") != embedder_id).alias("foreign"), F.col("embedding").isNull().alias("bare"))
     state = (
@@ -58,7 +65,7 @@ def compare(chunks: DataFrame, index: DataFrame, embedder_id: str) -> DataFrame:
 def reindex(chunks: DataFrame, index: DataFrame, embed: Embedder, embedder_id: str) -> DataFrame:
     """The whole new index: unchanged entries kept, new and changed ones embedded, orphans gone, other schemas untouched."""
     states = compare(chunks, index, embedder_id)
-    fresh = chunks.dropDuplicates(["schema_id", "id"]).join(states.where("state IN ('new', 'changed')"), ["schema_id", "id"], "left_semi")
+    fresh = _single(chunks).join(states.where("state IN ('new', 'changed')"), ["schema_id", "id"], "left_semi")
     entries = embed(fresh).select("schema_id", "id", "type", "text", "refs", "sensitive", content_hash(F.col("text")).alias("hash"), F.lit(embedder_id).alias("embedder"), "embedding")
     kept = index.join(states.where("state IN ('new', 'changed', 'orphan')"), ["schema_id", "id"], "left_anti")
     return kept.select(*entries.columns).unionByName(entries)
@@ -84,7 +91,8 @@ def refresh(store: VectorStore, chunks: DataFrame, embed: Embedder, embedder_id:
 class VectorStore:
     """Index in a Parquet folder, replaced as a whole version at a time.
 
-    A version is written beside the old one and then named in ``CURRENT``, so a reader never meets half an index.
+    A version is written beside the old ones; the current one is the last that is complete (``_SUCCESS``), so a reader never
+    meets half an index. Every change writes a whole version: changes are meant to come in sets, as :func:`refresh` makes them.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:

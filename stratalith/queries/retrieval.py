@@ -196,6 +196,15 @@ _INDEX = """WITH now AS (SELECT DISTINCT schema_id, id, sha256(text) AS hash FRO
 def oracle_sql() -> dict[str, str]:
     """By name."""
     return {
+        "chunk_ids": """WITH c AS (SELECT table_name, column_name FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer', 'part', 'orders', 'lineitem') AND column_name NOT IN ('c_name', 'c_acctbal')),
+            t AS (SELECT unnest(['region', 'nation', 'customer', 'part', 'orders', 'lineitem']) AS n),
+            links AS (SELECT * FROM (VALUES ('nation', 'n_regionkey', 'region', 'r_regionkey'), ('customer', 'c_nationkey', 'nation', 'n_nationkey'), ('orders', 'o_custkey', 'customer', 'c_custkey'),
+              ('lineitem', 'l_orderkey', 'orders', 'o_orderkey'), ('lineitem', 'l_partkey', 'part', 'p_partkey')) l(a, b, c, d))
+            SELECT 'chunk:table:public.' || table_name || '#' || column_name AS id, 'column' AS type, false AS sensitive FROM c
+            UNION ALL SELECT 'chunk:table:public.' || n, 'table', false FROM t
+            UNION ALL SELECT 'chunk:table:public.' || a || '#' || b || '->table:public.' || c || '#' || d, 'relationship', false FROM links
+            UNION ALL SELECT * FROM (VALUES ('chunk:table:public.orders#cql', 'cql', false), ('chunk:table:public.orders#biz', 'table', false), ('chunk:table:public.customer#biz', 'table', false),
+              ('chunk:table:public.orders#q:1', 'question', false), ('chunk:table:public.orders#q:2', 'question', false), ('chunk:concept:revenue', 'concept', false), ('chunk:tenant-policy#scope-rules', 'tenant-policy', false))""",
         "chunk_type_stats": """SELECT 'column' AS type, count(*) AS n_chunks, 0::BIGINT AS n_sensitive FROM information_schema.columns
             WHERE table_name IN ('region', 'nation', 'customer', 'part', 'orders', 'lineitem') AND column_name NOT IN ('c_name', 'c_acctbal')
             UNION ALL SELECT * FROM (VALUES ('table', 8::BIGINT, 0::BIGINT), ('cql', 1::BIGINT, 0::BIGINT), ('question', 2::BIGINT, 0::BIGINT), ('concept', 1::BIGINT, 0::BIGINT), ('relationship', 5::BIGINT, 0::BIGINT), ('tenant-policy', 1::BIGINT, 0::BIGINT)) t(type, n_chunks, n_sensitive)""",
