@@ -362,6 +362,14 @@ def oracle_sql() -> dict[str, str]:
             FROM schema_registry GROUP BY 1, 2""",
         "artifact_warnings": f"""SELECT 'missing_table_description' AS kind, count(*) AS n FROM (SELECT unnest([{_NAMES}]) AS name) WHERE name NOT IN ('documents', 'embeddings', 'orders', 'customer')
             UNION ALL SELECT 'missing_column_description', count(*) FROM information_schema.columns WHERE table_name IN ({_NAMES}) AND table_name NOT IN ('documents', 'embeddings') AND column_name <> 'o_orderstatus'""",
+        "prompt_ddl_lines": """WITH t AS (SELECT * FROM (VALUES (0, 'region', ''), (1, 'nation', ''), (2, 'customer', ' -- aliases: clients, buyers'), (3, 'supplier', ''), (4, 'part', ''), (5, 'orders', ' -- aliases: purchases'), (6, 'lineitem', '')) v(p, name, tail)),
+            c AS (SELECT table_name, column_name, ordinal_position::INT AS o, CASE data_type WHEN 'VARCHAR' THEN 'text' WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp' ELSE lower(data_type) END AS type,
+                    column_name IN ('r_regionkey', 'n_nationkey', 'c_custkey', 'p_partkey', 'o_orderkey', 'l_orderkey', 'l_linenumber') AS pk FROM information_schema.columns)
+            SELECT p AS table_position, 0 AS line_no, 'TABLE public.' || name || tail AS line FROM t
+            UNION ALL SELECT p, o + 9, '  - ' || column_name || ' ' || type || CASE WHEN pk THEN ' (PK NOT NULL)' ELSE ' (NULL)' END || CASE column_name WHEN 'o_orderstatus' THEN ' -- values: O|F|P; State of the order' ELSE '' END
+              FROM t JOIN c ON table_name = name WHERE name <> 'supplier' AND column_name NOT IN ('c_name', 'c_acctbal')
+            UNION ALL SELECT * FROM (VALUES (2, 1, '-- Who buys.'), (5, 1, '-- One row per order that a customer placed.'), (3, 2, '  [this table''s columns are not shown: it is sensitive]'), (5, 1000000, '-- common query language --'),
+              (5, 1000001, '-- Revenue means o_totalprice.'), (5, 1000002, '-- '), (5, 1000003, '-- Open orders have status O.'))""",
         "sensitive_redaction_stats": "SELECT 6::BIGINT AS redacted_columns, 1::BIGINT AS sensitive_table_stubs, 0::BIGINT AS listed_sensitive_columns, 1::BIGINT AS untracked_tables",
         "validator_verdicts": f"SELECT * FROM (VALUES {verdicts}) t(statement, verdict)",
         "placeholder_scan": "SELECT * FROM (VALUES (0, 'b'), (1, 'a'), (2, 'b_list')) t(place, name)",
