@@ -2,35 +2,52 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalith.functions.text import column_of, dash_slug, table_of
 
 MAX_CHARS = 1000
+BLANK = " \t\n\r\f\v"
+_GAP = re.compile(r"\n\s*\n", re.ASCII)
 # The kinds of chunk.
 KINDS = ("table", "column", "cql", "question", "concept", "relationship", "tenant-policy")
 
 
+def pack(body: str | None, most: int) -> list[str] | None:
+    """Parts of one text, by one pass over its paragraphs."""
+    if body is None:
+        return None
+    text = body.strip(BLANK)
+    if len(text) <= most:
+        return [text]
+    first, *others = _GAP.split(text)
+    parts, held, n = [], [first], len(first) + 2
+    for paragraph in others:
+        if n + len(paragraph) > most:
+            parts.append(held)
+            held, n = [], 0
+        held.append(paragraph)
+        n += len(paragraph) + 2
+    return ["\n\n".join(h).strip(BLANK) for h in [*parts, held]]
+
+
 def packed_paragraphs(body: Column, most: int = MAX_CHARS) -> Column:
     """Parts of a text: whole paragraphs packed greedily up to ``most`` characters.
 
     A text that fits is one part. A longer paragraph stays whole: it is one part by itself. Lengths are
     counted in code points, and each paragraph counts two more for the gap after it. Null stays null; a blank
-    text is one empty part.
+    text is one empty part. Scale: one Arrow pass, linear in the text (a fold in the JVM copies its parts at every step).
     """
-    text = F.regexp_replace(body, r"^\s+|\s+$", "")
-    cells = F.transform(F.split(text, r"\n\s*\n"), lambda p: F.struct(F.array().cast("array<string>").alias("done"), p.alias("open"), (F.length(p) + 2).alias("n")))
-
-    def step(acc: Column, x: Column) -> Column:
-        full = acc["n"] + F.length(x["open"]) > most
-        return F.when(full, F.struct(F.array_append(acc["done"], acc["open"]).alias("done"), x["open"].alias("open"), x["n"].alias("n"))).otherwise(
-            F.struct(acc["done"].alias("done"), F.concat(acc["open"], F.lit("\n\n"), x["open"]).alias("open"), (acc["n"] + x["n"]).alias("n"))
-        )
-
-    folded = F.reduce(F.slice(cells, F.lit(2), F.greatest(F.size(cells) - 1, F.lit(0))), cells[0], step, lambda acc: F.array_append(acc["done"], acc["open"]))
-    trimmed = F.transform(folded, lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
-    return F.when(F.length(text) <= most, F.array(text)).otherwise(trimmed)
+
+    @F.arrow_udf("array<string>")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([pack(t, most) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    return run(body)
 
 
 def mentions_any(text: Column, names: Column) -> Column:

@@ -24,13 +24,16 @@ def get_session(app: str = "stratalith", **conf: str) -> SparkSession:
     """The running session, or a new local one with the engine's defaults."""
     active = SparkSession.getActiveSession()
     if active is not None:
+        ship_package(active)
         return active
     builder = SparkSession.builder.appName(app)
     if "spark.master" not in conf and not os.environ.get("MASTER"):
         builder = builder.master("local[*]")
     for key, value in (DEFAULTS | conf).items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship_package(session)
+    return session
 
 
 def shared_folder(spark: SparkSession) -> str:
